@@ -101,11 +101,11 @@ def previous_value(
     )
     inside = Window.partitionBy(key, "__chunk").orderBy(order_col, tie)
     lagged = cut.withColumn("__first", F.row_number().over(inside) == 1).withColumn(
-        "__prev", F.lag(value).over(inside)
+        "__lag", F.lag(value).over(inside)
     )
     joined = join_dimension(lagged, carried, [key, "__chunk"], "inner")
-    return joined.withColumn(name, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__prev"))).drop(
-        "__chunk", "__first", "__prev", "__carry"
+    return joined.withColumn(name, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__lag"))).drop(
+        "__chunk", "__first", "__lag", "__carry"
     )
 
 

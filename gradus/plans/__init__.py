@@ -6,7 +6,7 @@ import importlib
 
 from gradus.plans.registry import QUERIES, SQL
 
-MODULES = ("tables", "columns", "lookups")
+MODULES = ("tables", "columns", "lookups", "statistics", "rankings", "features")
 
 
 def _load() -> None:

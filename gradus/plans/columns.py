@@ -226,7 +226,7 @@ def _(t):
 
 @query(
     "l2_norm",
-    "SELECT id, round(sqrt(list_sum(list_transform(job_desc, e -> e * e))), 6) AS norm FROM blocks",
+    "SELECT id, round(sqrt(list_sum(list_transform(job_desc, lambda e: e * e))), 6) AS norm FROM blocks",
     ("blocks",),
 )
 def _(t):
@@ -234,8 +234,8 @@ def _(t):
 
 
 _DISTS_SQL = """WITH dists AS (SELECT id,
-      [sqrt(list_sum(list_transform(vec, e -> e * e))), sqrt(list_sum(list_transform(vec, e -> (e - 0.1::DOUBLE) * (e - 0.1::DOUBLE)))),
-       sqrt(list_sum(list_transform(vec, e -> (e + 0.1::DOUBLE) * (e + 0.1::DOUBLE))))] AS d FROM blocks)"""
+      [sqrt(list_sum(list_transform(vec, lambda e: e * e))), sqrt(list_sum(list_transform(vec, lambda e: (e - 0.1::DOUBLE) * (e - 0.1::DOUBLE)))),
+       sqrt(list_sum(list_transform(vec, lambda e: (e + 0.1::DOUBLE) * (e + 0.1::DOUBLE))))] AS d FROM blocks)"""
 
 
 def _dists(t):
@@ -246,7 +246,7 @@ def _dists(t):
 @query(
     "distance_softmax",
     _DISTS_SQL
-    + """, e AS (SELECT id, list_transform(d, x -> exp(list_min(d) - x)) AS w FROM dists)
+    + """, e AS (SELECT id, list_transform(d, lambda x: exp(list_min(d) - x)) AS w FROM dists)
     SELECT id, round(w[1] / list_sum(w), 6) AS p0, round(w[2] / list_sum(w), 6) AS p1, round(w[3] / list_sum(w), 6) AS p2 FROM e""",
     ("blocks",),
 )

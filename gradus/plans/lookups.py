@@ -99,11 +99,12 @@ def _(t):
 
 @query(
     "anti_join_values",
-    """SELECT DISTINCT p_name FROM part WHERE p_size > 45 AND p_name NOT IN
-    (SELECT p_name FROM part WHERE p_size <= 5)""",
+    """SELECT DISTINCT c_mktsegment || c_nationkey AS grp FROM customer WHERE c_acctbal >= 0 AND c_mktsegment || c_nationkey NOT IN
+    (SELECT c_mktsegment || c_nationkey FROM customer WHERE c_acctbal < 0)""",
 )
 def _(t):
-    return lookups.anti_join_values(t.part.filter("p_size > 45"), t.part.filter("p_size <= 5"), "p_name")
+    c = t.customer.select(F.concat("c_mktsegment", "c_nationkey").alias("grp"), "c_acctbal")
+    return lookups.anti_join_values(c.filter("c_acctbal >= 0"), c.filter("c_acctbal < 0"), "grp")
 
 
 @query(

@@ -87,7 +87,7 @@ def _blocks(t):
 
 
 _BLOCKS_SQL = f"""
-SELECT id, list_transform(vec, e -> CASE WHEN abs(e) < {NEAR_ZERO} THEN 0.0::DOUBLE ELSE e END) AS job_desc, vec,
+SELECT id, list_transform(vec, lambda e: CASE WHEN abs(e) < {NEAR_ZERO} THEN 0.0::DOUBLE ELSE e END) AS job_desc, vec,
   CASE WHEN vec[1] + 2 * vec[2] < -0.12 THEN 0 WHEN vec[1] + 2 * vec[2] < 0.12 THEN 1 ELSE 2 END AS y, label
 FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings)"""
 

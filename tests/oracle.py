@@ -49,9 +49,8 @@ def compare(spark, con, fn, sql, sf_dir):
         return f"columns differ: {scols} vs {dcols}"
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
     bad = {c: (types[c], dtypes[c]) for c in scols if types[c] in kinds and kinds[types[c]] != dtypes[c].upper() and "NUMBER" not in dtypes[c].upper()}
-    odd = {c: p for c, p in bad.items() if not ({p[0], p[1].lower()} <= {"int", "bigint", "integer"})}
-    if odd:
-        return f"types differ: {odd}"
+    if bad:
+        return f"types differ: {bad}"
     if len(srows) != len(drows):
         return f"row counts differ: {len(srows)} vs {len(drows)}"
     diff = [(a, b) for a, b in zip(srows, drows) if a != b]
