@@ -34,6 +34,8 @@ class ColumnStats:
     high: dict[str, float] = field(default_factory=dict)
     #: columns without any value; their fill is 0.0
     empty: tuple[str, ...] = ()
+    rows: int = 0
+    present: dict[str, int] = field(default_factory=dict)
 
 
 def fit_columns(df: DataFrame, cols: Sequence[str]) -> ColumnStats:
@@ -42,10 +44,11 @@ def fit_columns(df: DataFrame, cols: Sequence[str]) -> ColumnStats:
         *[
             F.struct(
                 F.avg(c).alias("mean"), F.stddev_pop(c).alias("sp"), F.stddev_samp(c).alias("ss"),
-                F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"),
+                F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.count(c).alias("n"),
             ).alias(f"s{i}")
             for i, c in enumerate(cols)
-        ]
+        ],
+        F.count("*").alias("rows"),
     ).first()
     stats = {c: row[f"s{i}"] for i, c in enumerate(cols)}
     known = {c: s for c, s in stats.items() if s["mean"] is not None}
@@ -56,6 +59,8 @@ def fit_columns(df: DataFrame, cols: Sequence[str]) -> ColumnStats:
         low={c: s["low"] for c, s in known.items()},
         high={c: s["high"] for c, s in known.items()},
         empty=tuple(c for c in cols if c not in known),
+        rows=row["rows"],
+        present={c: s["n"] for c, s in stats.items()},
     )
 
 
@@ -162,26 +167,28 @@ class DateStats:
 def fit_dates(df: DataFrame, date: str, y: str | None = None) -> DateStats:
     """Earliest month and, with a target, its mean and sample std per month of the year.
 
-    At most 13 grouped rows are collected; totals over all months come from the
-    same job through a rollup.
+    One job; at most 13 grouped rows are collected and combined to the totals.
     """
     month = F.month(date).alias("m")
     if y is None:
         first = df.agg(F.min(date)).first()[0]
         return DateStats(first or datetime.date.today())
     usable = df.select(month, F.col(date).alias("d"), F.col(y).cast("double").alias("y"))
-    rows = usable.rollup("m").agg(
-        F.avg("y").alias("mean"), F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("std"),
-        F.min("d").alias("first"), F.grouping("m").alias("g"),
+    rows = usable.groupBy("m").agg(
+        F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"), F.var_pop("y").alias("var"),
+        F.count("y").alias("n"), F.min("d").alias("first"),
     ).collect()
-    months = {r["m"]: (r["mean"], r["std"]) for r in rows if not r["g"] and r["m"] is not None}
-    overall = usable.agg(
-        F.avg(F.when(F.col("m").isNotNull(), F.col("y"))).alias("m1"),
-        F.stddev_samp(F.when(F.col("m").isNotNull(), F.col("y"))).alias("s1"),
-        F.avg("y").alias("m2"), F.stddev_pop("y").alias("s2"),
-    ).first()
-    first = min((r["first"] for r in rows if r["first"] is not None), default=datetime.date.today())
-    mean, std = (overall["m1"], overall["s1"]) if months else (overall["m2"], overall["s2"])
+    dated = [r for r in rows if r["m"] is not None]
+    months = {r["m"]: (r["mean"], r["std"] or 0.0) for r in dated}
+    first = min((r["first"] for r in dated), default=datetime.date.today())
+    pool = [r for r in (dated or rows) if r["n"]]
+    n = sum(r["n"] for r in pool)
+    if not n:
+        return DateStats(first, months)
+    mean = sum(r["n"] * r["mean"] for r in pool) / n
+    spread = sum(r["n"] * (r["var"] + (r["mean"] - mean) ** 2) for r in pool)
+    free = n - 1 if dated else n
+    std = (spread / free) ** 0.5 if free > 0 else None
     return DateStats(first, months, mean, std)
 
 
@@ -320,10 +327,8 @@ def fit_flat(
     grouped = _grouped(cleaned, schema, dim, dates, titles, ())
     numeric = columns_by_pattern(grouped, None, "numeric")
     raw = fit_columns(grouped, numeric)
-    n = grouped.count()
-    present = grouped.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(numeric)]).first()
     # the scaler sees imputed columns: same mean, variance shrunk by the share present
-    shrunk = {c: raw.std_pop[c] * (present[f"n{i}"] / n) ** 0.5 if n else 0.0 for i, c in enumerate(numeric)}
+    shrunk = {c: raw.std_pop[c] * (raw.present[c] / raw.rows) ** 0.5 if raw.rows else 0.0 for c in numeric}
     fills = ColumnStats(raw.mean, shrunk, raw.std_samp, raw.low, raw.high, raw.empty)
     scaled = tuple(columns_by_pattern(grouped, scale_pattern, "numeric"))
     block = fit_block(grouped, "jobdesc", block_dim) if schema.packed else None
