@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.bounds import collect_small
+from gradus.bounds import collect_small, join_dimension
 from gradus.functions import arrays
 
 MAX_CLUSTERS = 10_000
@@ -24,8 +24,118 @@ def centroids(df: DataFrame, vec: str, label: str) -> DataFrame:
 
 def with_centroid_distance(df: DataFrame, vec: str, label: str, name: str) -> DataFrame:
     """Distance of each row to the centre of its own cluster."""
-    from gradus.bounds import join_dimension
-
     centers = centroids(df, vec, label).select(label, "center")
     joined = join_dimension(df, centers, label, "inner", MAX_CLUSTERS)
     return joined.withColumn(name, arrays.l2_norm(F.zip_with(vec, "center", lambda x, c: x - c))).drop("center")
+
+
+def cluster_stats(df: DataFrame, vec: str, label: str):
+    """Per cluster: n, centre, sum of squared distances to it, mean distance to it (clusters x p numbers)."""
+    placed = with_centroid_distance(df, vec, label, "__d")
+    rows = collect_small(
+        placed.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.col("__d") * F.col("__d")).alias("ss"), F.avg("__d").alias("s")),
+        MAX_CLUSTERS,
+    )
+    centers = {r[label]: np.asarray(r["center"]) for r in collect_small(centroids(df, vec, label), MAX_CLUSTERS)}
+    order = sorted(r[label] for r in rows)
+    by = {r[label]: r for r in rows}
+    return order, by, centers
+
+
+def calinski_harabasz(df: DataFrame, vec: str, label: str) -> DataFrame:
+    """[between / (k - 1)] / [within / (n - k)]; null for a single cluster."""
+    order, by, centers = cluster_stats(df, vec, label)
+    n, k = sum(by[c]["n"] for c in order), len(order)
+    value = None
+    if 1 < k < n:
+        mean = sum(by[c]["n"] * centers[c] for c in order) / n
+        between = sum(by[c]["n"] * float(((centers[c] - mean) ** 2).sum()) for c in order)
+        within = sum(by[c]["ss"] for c in order)
+        value = (between / (k - 1)) / (within / (n - k)) if within > 0 else 1.0
+    return df.sparkSession.createDataFrame([(k, value)], "k int, calinski_harabasz double")
+
+
+def davies_bouldin(df: DataFrame, vec: str, label: str) -> DataFrame:
+    """Mean over clusters of the worst (s_i + s_j) / distance of centres."""
+    order, by, centers = cluster_stats(df, vec, label)
+    k = len(order)
+    value = None
+    if k > 1:
+        worst = []
+        for i in order:
+            gaps = [(j, float(np.sqrt(((centers[i] - centers[j]) ** 2).sum()))) for j in order if j != i]
+            worst.append(max(((by[i]["s"] + by[j]["s"]) / g for j, g in gaps if g > 0), default=0.0))
+        value = sum(worst) / k
+    return df.sparkSession.createDataFrame([(k, value)], "k int, davies_bouldin double")
+
+
+def silhouette_rows(df: DataFrame, id_col: str, vec: str, label: str, block_rows: int = 4096, chunk_rows: int = 1024) -> DataFrame:
+    """(id, label, a, b, s) with Euclidean distances.
+
+    The exact value needs every distance. Copies are collapsed to (vector,
+    label, count) first; the rest is cut into bounded blocks whose tasks return
+    one distance sum per (row, cluster), never pairs. Work still grows with the
+    square of the distinct rows; :func:`silhouette_squared` is linear.
+    """
+    import pandas as pd
+
+    from gradus.operators import blocks as B
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"), F.col(label).cast("long").alias("label"))
+    points = rows.groupBy("vec", "label").agg(F.min("id").alias("rep"), F.count("*").alias("w")).persist()
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        q, x = B.matrix(left["vec"]), B.matrix(right["vec"])
+        w = right["w"].to_numpy(dtype=float)
+        groups, which = np.unique(right["label"].to_numpy(), return_inverse=True)
+        onehot = np.zeros((len(x), len(groups)))
+        onehot[np.arange(len(x)), which] = w
+        slack = B.squared_slack(q, x)
+        total = np.zeros((len(q), len(groups)))
+        for s in B.row_slices(len(q), len(x)):
+            d2 = B.squared_distances(q[s], x)
+            r, c = np.nonzero(d2 <= 1e6 * slack)  # tiny distances lose digits in the fast form
+            d = np.sqrt(d2)
+            if len(r):
+                d[r, c] = B.exact_distance(q[s][r], x[c])
+            total[s] = d @ onehot
+        return pd.DataFrame({
+            "rep": np.repeat(left["rep"].to_numpy(), len(groups)), "other": np.tile(groups, len(q)), "total": total.ravel(),
+        })
+
+    one = F.lit(0).alias("cell")
+    found = B.blocked_join(
+        points.select("rep", "vec", one), points.select(F.col("rep").alias("id"), "vec", "label", "w", one), "rep", "id", sums,
+        "rep bigint, other bigint, total double", block_rows=block_rows, chunk_rows=chunk_rows,
+    )
+    per = found.groupBy("rep", "other").agg(F.sum("total").alias("total"))
+    sizes = points.groupBy(F.col("label").alias("other")).agg(F.sum("w").alias("size"))
+    own = points.select("rep", "label")
+    joined = join_dimension(per, sizes, "other", "inner", MAX_CLUSTERS).join(own, "rep")
+    same = F.col("other") == F.col("label")
+    ab = joined.groupBy("rep").agg(
+        F.max(F.when(same, F.col("total") / F.nullif(F.col("size") - 1, F.lit(0)))).alias("a"),
+        F.min(F.when(~same, F.col("total") / F.col("size"))).alias("b"),
+    )
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(
+        F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
+    )
+    scored = points.select("vec", "label", "rep").join(ab.withColumn("s", s), "rep").drop("rep")
+    return rows.join(scored, ["vec", "label"]).select("id", "label", "a", "b", "s")
+
+
+def silhouette(df: DataFrame, id_col: str, vec: str, label: str, **opts) -> DataFrame:
+    """Mean silhouette over the rows; null for a single cluster."""
+    return silhouette_rows(df, id_col, vec, label, **opts).agg(
+        F.when(F.count_distinct("label") > 1, F.avg("s")).alias("silhouette"), F.count("*").alias("n")
+    )
+
+
+def silhouette_squared(df: DataFrame, vec: str, label: str) -> DataFrame:
+    """Silhouette with squared distances: linear in the rows, from per-cluster sums."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    v = df.select(array_to_vector(vec).alias("features"), F.col(label).cast("double").alias("prediction"))
+    value = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(v)
+    return df.sparkSession.createDataFrame([(float(value),)], "silhouette_squared double")

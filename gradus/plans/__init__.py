@@ -6,7 +6,7 @@ import importlib
 
 from gradus.plans.registry import QUERIES, SQL
 
-MODULES = ("tables", "columns", "lookups", "statistics", "rankings", "features", "selections", "evaluations")
+MODULES = ("tables", "columns", "lookups", "statistics", "rankings", "features", "selections", "evaluations", "clusters")
 
 
 def _load() -> None:
