@@ -282,6 +282,27 @@ def outlier_ensemble(df: DataFrame, id_col: str, vec: str, contamination: float
     return outlier_vote(z.join(lof, id_col), ["by_forest", "by_lof", "by_zscore"])
 
 
+def outlier_supervised(
+    df: DataFrame, id_col: str, vec: str, y: str, contamination: float | str = "auto", confidence: float = 0.8,
+    folds: int = 5, trees: int = 100, depth: int = 8, seed: int = 42,
+) -> DataFrame:
+    """Wrong out-of-fold class with high confidence, or isolated among features and target together."""
+    from gradus.operators.evaluation import cross_val_predict, estimator_fit_predict, stratified_kfold
+    from gradus.operators.models import predicted, random_forest, with_features
+
+    data = with_features(df.select(id_col, vec, y), vec, y)
+    folded = stratified_kfold(data, id_col, y, folds, seed)
+    run = estimator_fit_predict(random_forest(trees, depth, seed=seed), [id_col, y, "prediction", "probability"])
+    out = predicted(cross_val_predict(folded, run, folds), [id_col, y])
+    wrong = (F.col("prediction") != F.col(y)) & (F.array_max("probability") > confidence)
+    errors = out.select(id_col, wrong.alias("confident_error"))
+    joint = df.select(id_col, F.concat(vec, F.array(F.col(y).cast("double"))).alias("__v"))
+    isolated = outlier_isolation_forest(joint, id_col, "__v", contamination, seed=seed).select(
+        id_col, F.col("is_outlier").alias("isolated")
+    )
+    return errors.join(isolated, id_col).withColumn("is_outlier", F.col("confident_error") | F.col("isolated"))
+
+
 def remove_outliers(df: DataFrame, flags: DataFrame, id_col: str, training: bool = True) -> DataFrame:
     """Inliers when training; scoring rows pass unchanged."""
     if not training:

@@ -6,7 +6,9 @@ import importlib
 
 from gradus.plans.registry import QUERIES, SQL
 
-MODULES = ("tables", "columns", "lookups", "statistics", "rankings", "features", "selections", "evaluations", "clusters")
+MODULES = (
+    "tables", "columns", "lookups", "statistics", "rankings", "features", "selections", "evaluations", "clusters", "learning",
+)
 
 
 def _load() -> None:

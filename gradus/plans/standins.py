@@ -166,7 +166,30 @@ SELECT l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount,
   CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y
 FROM lineitem"""
 
+def _candidates(t):
+    """Full labelled rows: a vector with its order and customer attributes (gaps where none match)."""
+    o = t.orders.select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_totalprice") < 20000, "unknown").otherwise(F.date_format("o_orderdate", "yyyy/MM")).alias("job_posted_date"),
+        F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "B").otherwise("C").alias("feature_1"),
+        (F.col("o_totalprice") / 1000).alias("feature_2"),
+        (F.month("o_orderdate") <= 6).cast("int").alias("feature_3"),
+    )
+    c = t.customer.select(
+        F.col("c_custkey").alias("id"),
+        F.concat(F.lit("title_"), F.col("c_nationkey") % 5).alias("job_title"),
+        F.when(F.col("c_mktsegment") == "AUTOMOBILE", "MI").when(F.col("c_mktsegment") == "BUILDING", "TX")
+        .when(F.col("c_mktsegment") == "FURNITURE", "NC").when(F.col("c_mktsegment") == "HOUSEHOLD", "ZZ").alias("job_state"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("feature_10"),
+    )
+    b = t.blocks.select(
+        "id", "job_desc", F.when(F.col("y") == 0, "Low").when(F.col("y") == 1, "Medium").otherwise("High").alias("salary_category")
+    )
+    return b.join(o, "id", "left").join(c, "id", "left")
+
+
 VIEWS = {
+    "candidates": _candidates,
     "postings": _postings, "coded": _coded, "blocks": _blocks, "history": _history,
     "predictors": _predictors, "probabilities": _probabilities, "numbers": _numbers,
 }
