@@ -68,6 +68,9 @@ def cell_count(n: int) -> int:
 
 
 def pick_pivots(data: DataFrame, id_col: str, vec: str, cells: int, seed: int = 7) -> np.ndarray:
+    """Rows in hash order; a single cell needs no real pivot."""
+    if cells <= 1:
+        return np.zeros((1, 1))
     from gradus.operators.outliers import hash_sample
 
     return np.asarray([r[0] for r in hash_sample(data.select(id_col, vec), id_col, cells, seed).select(vec).collect()], dtype=float)
@@ -94,6 +97,8 @@ def place(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
 
 def summarise_cells(placed: DataFrame, pivots: np.ndarray) -> Cells:
     m = len(pivots)
+    if m == 1:
+        return Cells(pivots, np.ones(1, dtype=np.int64), np.zeros(1), np.full(1, np.inf))
     counts, near, far = np.zeros(m, dtype=np.int64), np.full(m, np.inf), np.full(m, -np.inf)
     for r in collect_small(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("cdist").alias("lo"), F.max("cdist").alias("hi"))):
         counts[r["cell"]], near[r["cell"]], far[r["cell"]] = r["n"], r["lo"], r["hi"]
@@ -107,7 +112,7 @@ def candidate_cells(queries: DataFrame, vec: str, radius, cells: Cells, k: int =
     rows: cells are taken in the order of their farthest possible member.
     """
     live = cells.counts > 0
-    if len(cells.pivots) == 1:
+    if len(live) == 1:
         return queries.withColumn("cell", F.lit(0))
     shared = queries.sparkSession.sparkContext.broadcast((cells, live))
 

@@ -325,7 +325,8 @@ def fit_flat(
     dates = fit_dates(cleaned, schema.date[0])
     titles = fit_categories(cleaned, "job_title", min_count)
     grouped = _grouped(cleaned, schema, dim, dates, titles, ())
-    numeric = columns_by_pattern(grouped, None, "numeric")
+    # indicator columns are never null and never scaled: no statistics needed
+    numeric = [c for c in columns_by_pattern(grouped, None, "numeric") if not c.startswith("title__")]
     raw = fit_columns(grouped, numeric)
     # the scaler sees imputed columns: same mean, variance shrunk by the share present
     shrunk = {c: raw.std_pop[c] * (raw.present[c] / raw.rows) ** 0.5 if raw.rows else 0.0 for c in numeric}

@@ -45,13 +45,21 @@ def kth_same_class_distance(long: DataFrame, k: int, max_rows: int) -> DataFrame
     )
     spread = ranked.withColumn("own", block).withColumn("block", F.explode(homes))
     w = Window.partitionBy("pos", "c", "block").orderBy("rank")
-    reach = None
+    x = F.col("x")
+    spans = []
     for below in range(k + 1):
-        left = F.col("x") - F.lag("x", below).over(w) if below else F.lit(0.0)
-        right = F.lead("x", k - below).over(w) - F.col("x") if below < k else F.lit(0.0)
-        span = F.when(left.isNotNull() & right.isNotNull(), F.greatest(left, right))
-        reach = span if reach is None else F.least(reach, span)
-    return spread.withColumn("d", reach).filter(F.col("block") == F.col("own")).select("id", "pos", "c", "x", "d")
+        far_left = F.lag("x", below).over(w) if below else x
+        far_right = F.lead("x", k - below).over(w) if below < k else x
+        by_left = (x - far_left) >= (far_right - x)
+        d = F.when(by_left, x - far_left).otherwise(far_right - x)
+        # the end that is a row keeps that row's value, so no rounding moves it across the bound
+        span = F.struct(
+            d.alias("d"), F.when(by_left, far_left).otherwise(x - d).alias("lo"), F.when(by_left, x + d).otherwise(far_right).alias("hi")
+        )
+        spans.append(F.when(far_left.isNotNull() & far_right.isNotNull(), span))
+    nearest = F.array_min(F.array_compact(F.array(*spans)))
+    out = spread.withColumn("reach", nearest).filter(F.col("block") == F.col("own"))
+    return out.select("id", "pos", "c", "x", "reach.d", "reach.lo", "reach.hi")
 
 
 def mutual_info_neighbour(
@@ -75,9 +83,9 @@ def mutual_info_neighbour(
             parts.append(kth_same_class_distance(long.filter(F.col("c") == c), sizes[c] - 1, max_rows))
     reach = reduce(DataFrame.unionByName, parts).persist()
     values = long.select("id", "pos", F.col("x").alias("v"), F.lit(1).alias("kind"), "one", F.lit(0).alias("sign"))
-    # an upper end counts values below it, a lower end values up to it
-    high = reach.select("id", "pos", (F.col("x") + F.col("d")).alias("v"), F.lit(0).alias("kind"), F.lit(0).alias("one"), F.lit(1).alias("sign"))
-    low = reach.select("id", "pos", (F.col("x") - F.col("d")).alias("v"), F.lit(2).alias("kind"), F.lit(0).alias("one"), F.lit(-1).alias("sign"))
+    # strictly nearer rows only: an upper end counts values below it, a lower end values up to it
+    high = reach.select("id", "pos", F.col("hi").alias("v"), F.lit(0).alias("kind"), F.lit(0).alias("one"), F.lit(1).alias("sign"))
+    low = reach.select("id", "pos", F.col("lo").alias("v"), F.lit(2).alias("kind"), F.lit(0).alias("one"), F.lit(-1).alias("sign"))
     counted = running_rank(values.unionByName(high).unionByName(low), ["pos"], ["v", "kind", "id"], "one", "before", max_rows)
     inside = counted.filter(F.col("sign") != 0).groupBy("pos", "id").agg(F.sum(F.col("sign") * F.col("before")).alias("m"))
     means = collect_small(inside.groupBy("pos").agg(F.avg(digamma(F.greatest(F.col("m"), F.lit(1)))).alias("psi_m")))

@@ -40,13 +40,14 @@ def knn_join(
     asked = q.groupBy("vec").agg(F.min("id").alias("qrep")).persist()
     n = targets.count()
     pivots = B.pick_pivots(targets, "rep", "vec", cells or B.cell_count(n))
-    placed = B.place(targets.select("rep", "vec"), "vec", pivots).persist()
+    placed = B.place(targets, "vec", pivots)
+    placed = placed.persist() if len(pivots) > 1 else placed
     summary = B.summarise_cells(placed, pivots)
 
     def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids = right["rep"].to_numpy()
         r, c, e = B.nearest_in_block(B.matrix(left["vec"]), B.matrix(right["vec"]), ids, need)
-        return pd.DataFrame({"qrep": left["qrep"].to_numpy()[r], "rep": ids[c], "dist": e})
+        return pd.DataFrame({"qrep": left["qrep"].to_numpy()[r], "dist": e, "ids": right["ids"].to_numpy()[c]})
 
     def bound(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(right) < need:
@@ -63,10 +64,8 @@ def knn_join(
         spread = B.candidate_cells(radius, "vec", F.col("theta"), summary, need).drop("theta").persist()
     else:
         spread = asked.withColumn("cell", F.lit(0))
-    found = B.blocked_join(spread, base, "qrep", "rep", top, "qrep bigint, rep bigint, dist double", **sizes)
-    best = Window.partitionBy("qrep").orderBy("dist", "rep")
-    found = found.withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= need)
-    members = found.join(targets.select("rep", "ids"), "rep").select("qrep", "dist", F.explode("ids").alias("nid"))
+    found = B.blocked_join(spread, base, "qrep", "rep", top, "qrep bigint, dist double, ids array<bigint>", **sizes)
+    members = found.select("qrep", "dist", F.explode("ids").alias("nid"))
     pick = Window.partitionBy("qrep").orderBy("dist", "nid")
     ranked = members.withColumn("__k", F.row_number().over(pick)).filter(F.col("__k") <= need)
     lists = ranked.groupBy("qrep").agg(F.array_sort(F.collect_list(F.struct("dist", "nid"))).alias("near"))

@@ -58,12 +58,14 @@ def fit_clustered(
     source = cleaned if cluster_rows is None else clean_features(cluster_rows, schema)
     clusters = fit_cluster_features(source, schema.packed, block_dim, k, restarts, seed)
     wide = _features(cleaned, schema, dim, dates, titles, clusters, soft, ())
-    numeric = columns_by_pattern(wide, None, "numeric")
+    columns = columns_by_pattern(wide, None, "numeric")
+    # indicator columns are never null and never scaled: no statistics needed
+    numeric = [c for c in columns if not c.startswith("title__")]
     raw = fit_columns(wide, numeric)
     shrunk = {c: raw.std_pop[c] * (raw.present[c] / raw.rows) ** 0.5 if raw.rows else 0.0 for c in numeric}
     cleaned.unpersist()
     fills = ColumnStats(raw.mean, shrunk, raw.std_samp, raw.low, raw.high, raw.empty, raw.rows, raw.present)
-    return ClusteredParams(dates, titles, clusters, soft, fills, tuple(columns_by_pattern(wide, SCALE_PATTERN, "numeric")), tuple(numeric))
+    return ClusteredParams(dates, titles, clusters, soft, fills, tuple(columns_by_pattern(wide, SCALE_PATTERN, "numeric")), tuple(columns))
 
 
 def apply_clustered(df: DataFrame, schema: FeatureSchema, params: ClusteredParams, dim: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -71,6 +73,9 @@ def apply_clustered(df: DataFrame, schema: FeatureSchema, params: ClusteredParam
     wide = _features(clean_features(df, schema, keep), schema, dim, params.dates, params.titles, params.clusters, params.soft, keep)
     out = []
     for c in params.columns:
+        if c not in params.fills.mean:
+            out.append(F.col(f"`{c}`"))
+            continue
         filled = F.coalesce(F.col(f"`{c}`"), F.lit(params.fills.mean[c]))
         if c in params.scaled:
             filled = (filled - F.lit(params.fills.mean[c])) / F.lit(params.fills.std_pop[c] or 1.0)

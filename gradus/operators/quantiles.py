@@ -3,98 +3,173 @@
 The built-in ``percentile`` keeps all distinct values of a group in one
 aggregation buffer. It is used while the distinct count is known to be small.
 Beyond that each wanted order statistic is bracketed with the bounded-memory
-``percentile_approx`` sketch, the rows strictly inside the bracket are counted
-exactly, and the search continues there. One pass shrinks the candidates by
-three orders of magnitude, so two or three passes reach a handful of values
-whatever the table size, and repeated values cost nothing because bracket ends
-are resolved by their counts.
+``percentile_approx`` sketch, the rows around the bracket are counted exactly,
+and the search goes on strictly inside it. One round shrinks the candidates by
+three orders of magnitude, so one to three rounds reach a handful of values
+whatever the table size. All columns and all quantiles share the jobs of a
+round, and repeated values cost nothing because bracket ends are resolved by
+their counts.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.bounds import ONE_TASK_ROWS, collect_small
 
 SKETCH_ACCURACY = 10_000
-COLLECT_VALUES = 10_000
+DIRECT_VALUES = 50_000
+COLLECT_ROWS = 20_000
+
+
+@dataclass
+class _Target:
+    """One wanted order statistic: ``rank`` among the ``n`` rows of ``col`` strictly inside (low, high)."""
+
+    col: str
+    key: tuple[str, int]
+    rank: int
+    n: int
+    low: float | None = None
+    high: float | None = None
+
+    def inside(self) -> Column:
+        v = F.col(self.col).cast("double")
+        ok = v.isNotNull()
+        if self.low is not None:
+            ok = ok & (v > self.low)
+        if self.high is not None:
+            ok = ok & (v < self.high)
+        return ok
 
 
 def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    qs: Sequence[float],
-    max_distinct: int = ONE_TASK_ROWS,
-    max_collect: int = COLLECT_VALUES,
+    df: DataFrame, cols: Sequence[str], qs: Sequence[float],
+    max_distinct: int = DIRECT_VALUES, max_collect: int = COLLECT_ROWS,
 ) -> dict[str, list[float | None]]:
     """Quantiles of each column, ignoring nulls, as numpy's linear rule gives them."""
-    cols = list(cols)
+    cols = list(dict.fromkeys(cols))
     sizes = df.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
         *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)],
     ).first()
-    direct = [i for i in range(len(cols)) if sizes[f"d{i}"] <= max_distinct]
     out: dict[str, list[float | None]] = {}
+    direct = [i for i in range(len(cols)) if sizes[f"d{i}"] <= max_distinct]
     if direct:
-        row = df.agg(
-            *[
-                F.percentile(F.col(cols[i]).cast("double"), F.array(*[F.lit(float(q)) for q in qs])).alias(f"q{i}")
-                for i in direct
-            ]
-        ).first()
+        probs = F.array(*[F.lit(float(q)) for q in qs])
+        row = df.agg(*[F.percentile(F.col(cols[i]).cast("double"), probs).alias(f"q{i}") for i in direct]).first()
         for i in direct:
             out[cols[i]] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(qs)
+    targets: dict[tuple[str, int], _Target] = {}
+    for i, c in enumerate(cols):
+        if i not in direct:
+            n = sizes[f"n{i}"]
+            for q in qs:
+                for r in {math.floor(q * (n - 1)), math.ceil(q * (n - 1))}:
+                    targets[(c, r)] = _Target(c, (c, r), r, n)
+    found = _order_statistics(df, list(targets.values()), max_collect)
     for i, c in enumerate(cols):
-        if i in direct:
-            continue
-        n = sizes[f"n{i}"]
-        values = df.select(F.col(c).cast("double").alias("v")).filter(F.col("v").isNotNull())
-        found: dict[int, float] = {}
-        out[c] = []
-        for q in qs:
-            pos = q * (n - 1)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            for r in (lo, hi):
-                if r not in found:
-                    found[r] = _order_statistic(values, r, n, max_collect)
-            out[c].append(found[lo] + (found[hi] - found[lo]) * (pos - lo))
+        if i not in direct:
+            n = sizes[f"n{i}"]
+            out[c] = []
+            for q in qs:
+                pos = q * (n - 1)
+                lo, hi = found[(c, math.floor(pos))], found[(c, math.ceil(pos))]
+                out[c].append(lo + (hi - lo) * (pos - math.floor(pos)))
     return {c: out[c] for c in cols}
 
 
-def _order_statistic(values: DataFrame, rank: int, n: int, max_collect: int) -> float:
-    """The value with ``rank`` smaller-or-earlier rows among the ``n`` rows of ``v``."""
-    while True:
-        if values.select(F.approx_count_distinct("v")).first()[0] <= max_collect // 2:
-            seen = 0
-            for row in collect_small(values.groupBy("v").count().orderBy("v"), 2 * max_collect):
-                seen += row["count"]
-                if rank < seen:
-                    return row["v"]
-            raise AssertionError("rank beyond the number of rows")
-        q = rank / max(1, n - 1)
-        slack = 2.0 / SKETCH_ACCURACY
-        ends = [max(0.0, q - slack), min(1.0, q + slack)]
-        lo, hi = values.select(F.percentile_approx("v", F.array(*map(F.lit, ends)), F.lit(SKETCH_ACCURACY))).first()[0]
-        below, upto_lo, before_hi, upto_hi = values.select(
-            F.count_if(F.col("v") < lo),
-            F.count_if(F.col("v") <= lo),
-            F.count_if(F.col("v") < hi),
-            F.count_if(F.col("v") <= hi),
+def _order_statistics(df: DataFrame, open_: list[_Target], max_collect: int) -> dict[tuple[str, int], float]:
+    found: dict[tuple[str, int], float] = {}
+    while open_:
+        ready = [t for t in open_ if t.n <= max_collect]
+        open_ = [t for t in open_ if t.n > max_collect]
+        if ready:
+            found.update(_read_out(df, ready))
+        if not open_:
+            break
+        ends = _sketch_ends(df, open_)
+        counts = df.agg(
+            *[
+                F.struct(
+                    F.count_if(t.inside() & (F.col(t.col) < lo)), F.count_if(t.inside() & (F.col(t.col) <= lo)),
+                    F.count_if(t.inside() & (F.col(t.col) < hi)), F.count_if(t.inside() & (F.col(t.col) <= hi)),
+                ).alias(f"t{i}")
+                for i, (t, (lo, hi)) in enumerate(zip(open_, ends))
+            ]
         ).first()
-        if rank < below:
-            values, n = values.filter(F.col("v") < lo), below
-        elif rank < upto_lo:
-            return lo
-        elif rank < before_hi:
-            values, rank, n = values.filter((F.col("v") > lo) & (F.col("v") < hi)), rank - upto_lo, before_hi - upto_lo
-        elif rank < upto_hi:
-            return hi
-        else:
-            values, rank, n = values.filter(F.col("v") > hi), rank - upto_hi, n - upto_hi
+        still: list[_Target] = []
+        for i, (t, (lo, hi)) in enumerate(zip(open_, ends)):
+            below, upto_lo, before_hi, upto_hi = counts[f"t{i}"]
+            if t.rank < below:
+                t.n, t.high = below, lo
+            elif t.rank < upto_lo:
+                found[t.key] = lo
+                continue
+            elif t.rank < before_hi:
+                t.rank, t.n, t.low, t.high = t.rank - upto_lo, before_hi - upto_lo, lo, hi
+            elif t.rank < upto_hi:
+                found[t.key] = hi
+                continue
+            else:
+                t.rank, t.n, t.low = t.rank - upto_hi, t.n - upto_hi, hi
+            still.append(t)
+        open_ = still
+    return found
+
+
+def _sketch_ends(df: DataFrame, targets: list[_Target]) -> list[tuple[float, float]]:
+    """A bracket per target; targets of one interval share one sketch."""
+    groups: dict[tuple, list[int]] = {}
+    for i, t in enumerate(targets):
+        groups.setdefault((t.col, t.low, t.high), []).append(i)
+    slack = 2.0 / SKETCH_ACCURACY
+    exprs = []
+    for g, members in enumerate(groups.values()):
+        probs = []
+        for i in members:
+            q = targets[i].rank / max(1, targets[i].n - 1)
+            probs += [F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))]
+        t = targets[members[0]]
+        value = F.when(t.inside(), F.col(t.col).cast("double"))
+        exprs.append(F.percentile_approx(value, F.array(*probs), F.lit(SKETCH_ACCURACY)).alias(f"g{g}"))
+    row = df.agg(*exprs).first()
+    ends: list[tuple[float, float]] = [(0.0, 0.0)] * len(targets)
+    for g, members in enumerate(groups.values()):
+        for j, i in enumerate(members):
+            ends[i] = (row[f"g{g}"][2 * j], row[f"g{g}"][2 * j + 1])
+    return ends
+
+
+def _read_out(df: DataFrame, targets: list[_Target]) -> dict[tuple[str, int], float]:
+    """Collect the few rows left in each interval, as (value, count), and count up to the rank."""
+    intervals: dict[tuple, int] = {}
+    for t in targets:
+        intervals.setdefault((t.col, t.low, t.high), len(intervals))
+    first = {intervals[(t.col, t.low, t.high)]: t for t in targets}
+    hits = F.array_compact(
+        F.array(*[
+            F.when(t.inside(), F.struct(F.lit(i).alias("i"), F.col(t.col).cast("double").alias("v"))) for i, t in first.items()
+        ])
+    )
+    counted = df.select(F.explode(hits).alias("h")).groupBy("h.i", "h.v").count()
+    values: dict[int, list[tuple[float, int]]] = {}
+    for r in collect_small(counted, sum(t.n for t in first.values()) + 1):
+        values.setdefault(r["i"], []).append((r["v"], r["count"]))
+    out = {}
+    for t in targets:
+        seen = 0
+        for v, m in sorted(values[intervals[(t.col, t.low, t.high)]]):
+            seen += m
+            if t.rank < seen:
+                out[t.key] = v
+                break
+    return out
 
 
 def group_quantiles(
@@ -114,7 +189,7 @@ def group_quantiles(
     result = light.groupBy(key).agg(F.percentile("__v", probs, F.col("count")).alias("__q"))
     result = result.select(key, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
     for value in heavy:
-        found = exact_quantiles(df.filter(F.col(key) == value), [col], qs, max_distinct)[col]
+        found = exact_quantiles(df.filter(F.col(key) == value), [col], qs)[col]
         one = df.sparkSession.range(1).select(
             F.lit(value).cast(df.schema[key].dataType).alias(key),
             *[F.lit(v).cast("double").alias(n) for v, n in zip(found, names)],

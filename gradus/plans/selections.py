@@ -157,9 +157,19 @@ def _(t):
     return rounded(selection.select_mutual_info(t.blocks, "vec", "y", NAMES, "auto"), "score")
 
 
-@query("select_mutual_info_neighbour")
+_MIN = f"""WITH {_LONG}, nc AS (SELECT y, count(*) AS c, (SELECT count(*) FROM blocks) AS n FROM blocks GROUP BY 1),
+    psi AS (SELECT i, coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.5772156649015329::DOUBLE AS p
+      FROM (SELECT unnest(range(1, 5000)) AS i)),
+    kd AS (SELECT pos, id, max(d) AS d FROM (SELECT a.pos, a.id, abs(a.x - b.x) AS d,
+        row_number() OVER (PARTITION BY a.pos, a.id ORDER BY abs(a.x - b.x)) AS k FROM long a JOIN long b ON a.pos = b.pos AND a.y = b.y AND a.id <> b.id) WHERE k <= 3 GROUP BY 1, 2),
+    m AS (SELECT a.pos, a.id, greatest(1, count(*)) AS m FROM long a JOIN kd ON kd.pos = a.pos AND kd.id = a.id JOIN long b ON b.pos = a.pos AND abs(a.x - b.x) < kd.d GROUP BY 1, 2),
+    base AS (SELECT any_value(pn.p) + any_value(p3.p) - sum(c * pc.p) / any_value(n) AS v FROM nc JOIN psi pn ON pn.i = n JOIN psi p3 ON p3.i = 3 JOIN psi pc ON pc.i = c),
+    sc AS (SELECT pos, greatest(0, (SELECT v FROM base) - avg(p)) AS score FROM m JOIN psi ON psi.i = m GROUP BY 1) """
+
+
+@query("select_mutual_info_neighbour", (_MIN + _ranked("sc", 32)).replace("round(score, 6) AS score", "round(score, 5) AS score"), ("blocks",))
 def _(t):
-    return selection.select_mutual_info(t.blocks, "vec", "y", NAMES, "auto", neighbours=3)
+    return rounded(selection.select_mutual_info(t.blocks, "vec", "y", NAMES, "auto", neighbours=3), "score", digits=5)
 
 
 @query(
