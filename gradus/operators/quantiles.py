@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +30,24 @@ COLLECT_ROWS = 20_000
 
 @dataclass
 class _Target:
-    """One wanted order statistic: ``rank`` among the ``n`` rows of ``col`` strictly inside (low, high)."""
+    """One wanted order statistic: absolute ``rank`` among the non-null rows of ``col``,
+    known to lie among the ``n`` rows strictly inside (low, high), which follow ``before`` rows."""
 
     col: str
-    key: tuple[str, int]
     rank: int
     n: int
+    before: int = 0
     low: float | None = None
     high: float | None = None
 
+    @property
+    def key(self) -> tuple[str, int]:
+        return self.col, self.rank
+
+    @property
+    def interval(self) -> tuple:
+        return self.col, self.low, self.high
+
     def inside(self) -> Column:
         v = F.col(self.col).cast("double")
         ok = v.isNotNull()
@@ -48,92 +58,126 @@ class _Target:
         return ok
 
 
+def slot(value: Column, bounds: Sequence[float]) -> Column:
+    """2i for values between bounds i-1 and i, 2i+1 for values equal to bound i: a balanced search tree of CASEs."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(2 * lo)
+        mid = (lo + hi) // 2
+        b = F.lit(float(bounds[mid]))
+        return F.when(value < b, tree(lo, mid)).when(value == b, F.lit(2 * mid + 1)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(bounds))
+
+
 def exact_quantiles(
     df: DataFrame, cols: Sequence[str], qs: Sequence[float],
     max_distinct: int = DIRECT_VALUES, max_collect: int = COLLECT_ROWS,
 ) -> dict[str, list[float | None]]:
     """Quantiles of each column, ignoring nulls, as numpy's linear rule gives them."""
     cols = list(dict.fromkeys(cols))
-    sizes = df.agg(
+    qs = [float(q) for q in qs]
+    slack = 2.0 / SKETCH_ACCURACY
+    probs = F.array(*[F.lit(p) for q in qs for p in (max(0.0, q - slack), min(1.0, q + slack))])
+    first = df.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
         *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(F.col(c).cast("double"), probs, F.lit(SKETCH_ACCURACY)).alias(f"s{i}") for i, c in enumerate(cols)],
     ).first()
-    out: dict[str, list[float | None]] = {}
-    direct = [i for i in range(len(cols)) if sizes[f"d{i}"] <= max_distinct]
-    if direct:
-        probs = F.array(*[F.lit(float(q)) for q in qs])
-        row = df.agg(*[F.percentile(F.col(cols[i]).cast("double"), probs).alias(f"q{i}") for i in direct]).first()
-        for i in direct:
-            out[cols[i]] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(qs)
-    targets: dict[tuple[str, int], _Target] = {}
+    small = [c for i, c in enumerate(cols) if first[f"d{i}"] <= max_distinct]
+    targets, ends = [], []
     for i, c in enumerate(cols):
-        if i not in direct:
-            n = sizes[f"n{i}"]
-            for q in qs:
-                for r in {math.floor(q * (n - 1)), math.ceil(q * (n - 1))}:
-                    targets[(c, r)] = _Target(c, (c, r), r, n)
-    found = _order_statistics(df, list(targets.values()), max_collect)
+        if c in small:
+            continue
+        n = first[f"n{i}"]
+        for j, q in enumerate(qs):
+            for r in sorted({math.floor(q * (n - 1)), math.ceil(q * (n - 1))}):
+                targets.append(_Target(c, r, n))
+                ends.append((first[f"s{i}"][2 * j], first[f"s{i}"][2 * j + 1]))
+    found = _order_statistics(df, targets, ends, max_collect)
+    exact = None
+    if small:
+        exact = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, qs))).alias(f"q{c}") for c in small]).first()
+    out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
-        if i not in direct:
-            n = sizes[f"n{i}"]
-            out[c] = []
-            for q in qs:
-                pos = q * (n - 1)
-                lo, hi = found[(c, math.floor(pos))], found[(c, math.ceil(pos))]
-                out[c].append(lo + (hi - lo) * (pos - math.floor(pos)))
-    return {c: out[c] for c in cols}
+        if c in small:
+            out[c] = list(exact[f"q{c}"]) if exact[f"q{c}"] is not None else [None] * len(qs)
+            continue
+        n = first[f"n{i}"]
+        out[c] = []
+        for q in qs:
+            pos = q * (n - 1)
+            lo, hi = found[(c, math.floor(pos))], found[(c, math.ceil(pos))]
+            out[c].append(lo + (hi - lo) * (pos - math.floor(pos)))
+    return out
 
 
-def _order_statistics(df: DataFrame, open_: list[_Target], max_collect: int) -> dict[tuple[str, int], float]:
+def _order_statistics(df: DataFrame, open_: list[_Target], ends: list[tuple[float, float]], max_collect: int) -> dict:
+    """Narrow every target with counts around its bracket until few rows are left, then read them out."""
     found: dict[tuple[str, int], float] = {}
+    ready: list[_Target] = []
     while open_:
-        ready = [t for t in open_ if t.n <= max_collect]
-        open_ = [t for t in open_ if t.n > max_collect]
-        if ready:
-            found.update(_read_out(df, ready))
-        if not open_:
-            break
-        ends = _sketch_ends(df, open_)
-        counts = df.agg(
-            *[
-                F.struct(
-                    F.count_if(t.inside() & (F.col(t.col) < lo)), F.count_if(t.inside() & (F.col(t.col) <= lo)),
-                    F.count_if(t.inside() & (F.col(t.col) < hi)), F.count_if(t.inside() & (F.col(t.col) <= hi)),
-                ).alias(f"t{i}")
-                for i, (t, (lo, hi)) in enumerate(zip(open_, ends))
-            ]
-        ).first()
+        counts = _counts_around(df, open_, ends)
         still: list[_Target] = []
-        for i, (t, (lo, hi)) in enumerate(zip(open_, ends)):
-            below, upto_lo, before_hi, upto_hi = counts[f"t{i}"]
-            if t.rank < below:
-                t.n, t.high = below, lo
+        for t, (lo, hi) in zip(open_, ends):
+            below_lo, upto_lo = counts[(t.col, lo)]
+            below_hi, upto_hi = counts[(t.col, hi)]
+            if t.rank < below_lo:
+                t.n, t.high = below_lo - t.before, lo
             elif t.rank < upto_lo:
                 found[t.key] = lo
                 continue
-            elif t.rank < before_hi:
-                t.rank, t.n, t.low, t.high = t.rank - upto_lo, before_hi - upto_lo, lo, hi
+            elif t.rank < below_hi:
+                t.n, t.before, t.low, t.high = below_hi - upto_lo, upto_lo, lo, hi
             elif t.rank < upto_hi:
                 found[t.key] = hi
                 continue
             else:
-                t.rank, t.n, t.low = t.rank - upto_hi, t.n - upto_hi, hi
-            still.append(t)
+                t.n, t.before, t.low = t.n + t.before - upto_hi, upto_hi, hi
+            (ready if t.n <= max_collect else still).append(t)
         open_ = still
+        ends = _sketch_ends(df, open_) if open_ else []
+    if ready:
+        found.update(_read_out(df, ready))
     return found
 
 
+def _counts_around(df: DataFrame, targets: list[_Target], ends: list[tuple[float, float]]) -> dict[tuple[str, float], tuple[int, int]]:
+    """(column, bound) -> (rows below the bound, rows up to it); one job for all columns."""
+    bounds: dict[str, list[float]] = {}
+    for t, pair in zip(targets, ends):
+        bounds.setdefault(t.col, []).extend(pair)
+    bounds = {c: sorted(set(b)) for c, b in bounds.items()}
+    cols = list(bounds)
+    places = F.array(*[
+        F.struct(F.lit(i).alias("i"), slot(F.col(c).cast("double"), bounds[c]).alias("s"), F.col(c).isNotNull().alias("ok"))
+        for i, c in enumerate(cols)
+    ])
+    rows = collect_small(df.select(F.explode(places).alias("p")).filter("p.ok").groupBy("p.i", "p.s").count(), 1_000_000)
+    held = {(r["i"], r["s"]): r["count"] for r in rows}
+    out = {}
+    for i, c in enumerate(cols):
+        seen = 0
+        for j, b in enumerate(bounds[c]):
+            seen += held.get((i, 2 * j), 0)
+            equal = held.get((i, 2 * j + 1), 0)
+            out[(c, b)] = (seen, seen + equal)
+            seen += equal
+    return out
+
+
 def _sketch_ends(df: DataFrame, targets: list[_Target]) -> list[tuple[float, float]]:
     """A bracket per target; targets of one interval share one sketch."""
     groups: dict[tuple, list[int]] = {}
     for i, t in enumerate(targets):
-        groups.setdefault((t.col, t.low, t.high), []).append(i)
+        groups.setdefault(t.interval, []).append(i)
     slack = 2.0 / SKETCH_ACCURACY
     exprs = []
     for g, members in enumerate(groups.values()):
         probs = []
         for i in members:
-            q = targets[i].rank / max(1, targets[i].n - 1)
+            q = (targets[i].rank - targets[i].before) / max(1, targets[i].n - 1)
             probs += [F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))]
         t = targets[members[0]]
         value = F.when(t.inside(), F.col(t.col).cast("double"))
@@ -150,21 +194,22 @@ def _read_out(df: DataFrame, targets: list[_Target]) -> dict[tuple[str, int], fl
     """Collect the few rows left in each interval, as (value, count), and count up to the rank."""
     intervals: dict[tuple, int] = {}
     for t in targets:
-        intervals.setdefault((t.col, t.low, t.high), len(intervals))
-    first = {intervals[(t.col, t.low, t.high)]: t for t in targets}
+        intervals.setdefault(t.interval, len(intervals))
+    first = {intervals[t.interval]: t for t in targets}
+    any_hit = reduce(lambda x, y: x | y, [t.inside() for t in first.values()])
     hits = F.array_compact(
         F.array(*[
             F.when(t.inside(), F.struct(F.lit(i).alias("i"), F.col(t.col).cast("double").alias("v"))) for i, t in first.items()
         ])
     )
-    counted = df.select(F.explode(hits).alias("h")).groupBy("h.i", "h.v").count()
+    counted = df.filter(any_hit).select(F.explode(hits).alias("h")).groupBy("h.i", "h.v").count()
     values: dict[int, list[tuple[float, int]]] = {}
     for r in collect_small(counted, sum(t.n for t in first.values()) + 1):
         values.setdefault(r["i"], []).append((r["v"], r["count"]))
     out = {}
     for t in targets:
-        seen = 0
-        for v, m in sorted(values[intervals[(t.col, t.low, t.high)]]):
+        seen = t.before
+        for v, m in sorted(values[intervals[t.interval]]):
             seen += m
             if t.rank < seen:
                 out[t.key] = v
