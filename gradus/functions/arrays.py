@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def vector_literal(values: Sequence[float]) -> Column:
+    """A fixed vector as one foldable expression, so wide vectors do not become wide plans."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def array_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -19,7 +24,7 @@ def l2_norm(arr: Column) -> Column:
 
 def euclidean(arr: Column, center: Sequence[float]) -> Column:
     """Distance of a vector column to a fixed vector."""
-    fixed = F.array(*[F.lit(float(v)) for v in center])
+    fixed = vector_literal(center)
     return l2_norm(F.zip_with(arr, fixed, lambda x, c: x - c))
 
 
@@ -86,12 +91,12 @@ def zero_to_null_array(arr: Column) -> Column:
 
 def fill_array(arr: Column, fill: Sequence[float]) -> Column:
     """Replace null elements by position."""
-    fixed = F.array(*[F.lit(float(v)) for v in fill])
+    fixed = vector_literal(fill)
     return F.zip_with(arr, fixed, lambda x, m: F.coalesce(x, m))
 
 
 def scale_array(arr: Column, mean: Sequence[float], scale: Sequence[float]) -> Column:
     """(x - mean) / scale by position."""
-    shift = F.array(*[F.lit(float(v)) for v in mean])
-    width = F.array(*[F.lit(float(v)) for v in scale])
+    shift = vector_literal(mean)
+    width = vector_literal(scale)
     return F.zip_with(F.zip_with(arr, shift, lambda x, m: x - m), width, lambda x, s: x / s)

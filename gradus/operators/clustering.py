@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,14 @@ def fit_kmeans(df: DataFrame, vec: str, k: int, restarts: int = 1, seed: int = 4
     data = as_features(df, vec).persist()
     best = None
     for r in range(restarts):
-        model = KMeans(k=k, seed=seed + r, maxIter=max_iter).fit(data)
+        try:
+            model = KMeans(k=k, seed=seed + r, maxIter=max_iter).fit(data)
+        except Py4JJavaError as e:
+            # with many equal rows the parallel initialisation can find fewer than k starts, which the learner rejects
+            if "ArrayIndexOutOfBounds" not in str(e):
+                raise
+            data.unpersist()
+            return lloyd(df, vec, _distinct_starts(df, vec, k), max_iter)
         cost = float(model.summary.trainingCost)
         if best is None or cost < best.inertia:
             best = KMeansFit(tuple(tuple(map(float, c)) for c in model.clusterCenters()), cost)
@@ -43,6 +51,33 @@ def fit_kmeans(df: DataFrame, vec: str, k: int, restarts: int = 1, seed: int = 4
     return best
 
 
+def _distinct_starts(df: DataFrame, vec: str, k: int) -> list[list[float]]:
+    """Up to k different rows; the last one is repeated when there are fewer."""
+    found = [r[0] for r in df.select(vec).distinct().orderBy(F.xxhash64(vec)).limit(k).collect()]
+    return found + [found[-1]] * (k - len(found))
+
+
+def lloyd(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], max_iter: int = 20) -> KMeansFit:
+    """Plain k-means rounds: one assignment pass and one mean per (cluster, position) each; empty clusters stay."""
+    cached = df.select(vec).persist()
+    now = [list(map(float, c)) for c in centers]
+    for _ in range(max_iter):
+        placed = assign_nearest(cached, vec, now)
+        sums = placed.select("cluster", F.posexplode(vec).alias("pos", "x")).groupBy("cluster", "pos").agg(
+            F.sum("x").alias("s"), F.count("*").alias("n")
+        )
+        moved = [list(c) for c in now]
+        for c, rows in _by_cluster(collect_small(sums, 1_000_000)).items():
+            moved[c] = [r["s"] / r["n"] for r in rows]
+        settled = all(abs(a - b) < 1e-9 for x, y in zip(now, moved) for a, b in zip(x, y))
+        now = moved
+        if settled:
+            break
+    cost = assign_nearest(cached, vec, now, dist="d").agg(F.sum(F.col("d") * F.col("d"))).first()[0]
+    cached.unpersist()
+    return KMeansFit(tuple(map(tuple, now)), float(cost or 0.0))
+
+
 def assign_nearest(df: DataFrame, vec: str, centers: Sequence[Sequence[float]], name: str = "cluster", dist: str | None = None) -> DataFrame:
     """Index of the nearest centre (first on ties) as an array expression."""
     out = df.withColumn("__d", arrays.center_distances(F.col(vec), centers))
@@ -97,7 +132,7 @@ def fit_pca(df: DataFrame, vec: str, k: int) -> PcaFit:
 
 
 def dot(vec: Column, weights: Sequence[float]) -> Column:
-    fixed = F.array(*[F.lit(float(w)) for w in weights])
+    fixed = arrays.vector_literal(weights)
     return F.aggregate(F.zip_with(vec, fixed, lambda x, w: x * w), F.lit(0.0), lambda acc, v: acc + v)
 
 

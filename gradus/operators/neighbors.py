@@ -212,9 +212,7 @@ def impute_knn(
     mean = fit_block(d, "vec", dim).mean
     has_gap = F.exists("vec", lambda x: x.isNull())
     complete = d.filter(~has_gap).withColumn("fills", F.lit(None).cast("map<int,double>"))
-    # arrays with null elements never compare equal in a join: match on their text form
-    key = F.to_json(F.struct("vec"), {"ignoreNullFields": "false"})
-    holed = d.filter(has_gap).withColumn("__j", key).join(per_vector.withColumn("__j", key).drop("vec"), "__j", "left").drop("__j")
-    merged = complete.unionByName(holed)
+    holed = d.filter(has_gap).join(per_vector, "vec", "left")
+    merged = complete.unionByName(holed.select("id", "vec", "fills"))
     filled = F.transform("vec", lambda x, i: F.coalesce(x, F.try_element_at("fills", i)))
     return merged.select(F.col("id").alias(id_col), fill_array(filled, mean).alias(name))

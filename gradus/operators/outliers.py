@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.bounds import collect_small, join_dimension, safe_ratio
+from gradus.functions import arrays
 from gradus.operators.features import fit_columns
 from gradus.operators.ordering import hash_order
 from gradus.operators.quantiles import exact_quantiles
@@ -261,8 +262,8 @@ def vector_zscore_flag(df: DataFrame, vec: str, name: str, threshold: float = 3.
     from gradus.operators.aggregates import vector_moments
 
     rows = sorted(collect_small(vector_moments(df, vec).select("pos", "mean", "var_pop")), key=lambda r: r["pos"])
-    mean = F.array(*[F.lit(r["mean"]) for r in rows])
-    wide = F.array(*[F.lit(threshold * r["var_pop"] ** 0.5) for r in rows])
+    mean = arrays.vector_literal([r["mean"] for r in rows])
+    wide = arrays.vector_literal([threshold * r["var_pop"] ** 0.5 for r in rows])
     excess = F.zip_with(
         F.zip_with(vec, mean, lambda x, m: F.abs(x - m)), wide, lambda d, w: F.coalesce((d > w) & (w > 0), F.lit(False))
     )
