@@ -57,23 +57,15 @@ def anti_join_ids(expected: DataFrame, got: DataFrame, key: str) -> DataFrame:
 
 
 def align_predictions(files: Mapping[str, DataFrame], key: str, label: str) -> DataFrame:
-    """Several prediction files side by side, matched by id.
+    """Several prediction files side by side, matched by id; ids absent from a file are dropped.
 
-    One union and one aggregation on the key instead of a chain of joins: a
-    single shuffle whatever the number of files. Ids absent from a file are
-    dropped, as an inner join would.
+    All joins share the key, so each file is shuffled once and never again.
     """
     names = list(files)
     if len(set(names)) != len(names):
         raise ValueError("prediction files need unique names")
-    tagged = [df.select(key, F.lit(n).alias("__f"), F.col(label).alias("__l")) for n, df in files.items()]
-    stacked = reduce(DataFrame.unionByName, tagged)
-    wide = stacked.groupBy(key).agg(
-        *[F.max(F.when(F.col("__f") == n, F.col("__l"))).alias(n) for n in names],
-        *[F.count_if(F.col("__f") == n).alias(f"__n_{n}") for n in names],
-    )
-    everywhere = reduce(lambda a, b: a & b, [F.col(f"__n_{n}") > 0 for n in names])
-    return wide.filter(everywhere).select(key, *names)
+    renamed = [files[n].select(key, F.col(label).alias(n)) for n in names]
+    return reduce(lambda a, b: a.join(b, key), renamed).select(key, *names)
 
 
 def anti_join_values(left: DataFrame, right: DataFrame, col: str) -> DataFrame:

@@ -141,20 +141,14 @@ def shuffled_rank(
     all prefixes.
     """
     digits = max(1, math.ceil(math.log(max(1, df.count() / max_rows), 16)) + 1)
-    keys = [strata] if strata else []
-    hashed = df.withColumn("__h", hash_order(seed, id_col)).withColumn("__b", F.substring("__h", 1, digits))
-    sizes = hashed.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-    lower = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*keys, "__b", F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__shift"))
-    inside = Window.partitionBy(*keys, "__b").orderBy("__h", id_col)
-    placed = hashed.withColumn("__r", F.row_number().over(inside))
-    if strata:
-        shifts = shifts.withColumnRenamed(strata, "__s")
-        cond = placed[strata].eqNullSafe(F.col("__s")) & (placed["__b"] == F.col("__c"))
-        shifts = shifts.withColumnRenamed("__b", "__c")
-        joined = placed.join(shifts, cond).drop("__s", "__c")
-    else:
-        joined = join_dimension(placed, shifts, "__b", "inner")
+    group = F.coalesce(F.col(strata).cast("string"), F.lit("\u0000")) if strata else F.lit("")
+    hashed = df.withColumn("__h", hash_order(seed, id_col)).withColumn("__s", group).withColumn("__b", F.substring("__h", 1, digits))
+    sizes = hashed.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
+    lower = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("__s", "__b", F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__shift"))
+    # the join keys are the window's partitioning, so a shuffle join would not move the rows again
+    inside = Window.partitionBy("__s", "__b").orderBy("__h", id_col)
+    joined = join_dimension(hashed.withColumn("__r", F.row_number().over(inside)), shifts, ["__s", "__b"], "inner")
     return joined.withColumn(name, (F.col("__r") - 1 + F.col("__shift")).cast("bigint")).drop(
-        "__h", "__b", "__r", "__shift"
+        "__h", "__s", "__b", "__r", "__shift"
     )

@@ -96,11 +96,12 @@ def _(t):
 @query(
     "cv_score_stats",
     """SELECT model, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, min(score) AS min, max(score) AS max,
-    round(quantile_cont(score, 0.25), 6) AS q25, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.75), 6) AS q75 FROM history GROUP BY 1""",
+    round(quantile_cont(score, 0.25), 8) AS q25, round(quantile_cont(score, 0.5), 8) AS q50, round(quantile_cont(score, 0.75), 8) AS q75 FROM history GROUP BY 1""",
     ("history",),
 )
 def _(t):
-    return rounded(evaluation.cv_score_stats(t.history, "model", "score"), "mean", "std", "q25", "q50", "q75")
+    out = rounded(evaluation.cv_score_stats(t.history, "model", "score"), "mean", "std")
+    return rounded(out, "q25", "q50", "q75", digits=8)
 
 
 @query(

@@ -203,6 +203,19 @@ def _(t):
     return _probs(again)
 
 
+@query("load_model")
+def _(t):
+    """A Spark ML model written and read back as a saved chain of stages."""
+    from pyspark.ml import PipelineModel
+
+    from gradus.plans.evaluations import scratch
+    from gradus.sources.tables import load_model, save_model
+
+    data = _learn(t)
+    path = save_model(PipelineModel(stages=[models.random_forest(5, 3).fit(data)]), scratch(t, "model"))
+    return _probs(models.predicted(load_model(path).transform(data), ["id", "y"]))
+
+
 # --- cross-validation and search --------------------------------------------
 
 @query("cross_val_predict")
@@ -319,9 +332,20 @@ _LOGIT = """rows AS (SELECT id, feature_10 / 1000 AS x, CAST(salary_category = '
     r AS (SELECT *, y_high - fitted AS resid_response, (y_high - fitted) / sqrt(fitted * (1 - fitted)) AS resid_pearson FROM f)"""
 
 
-@query("binary_logit_glm")
+@query(
+    "binary_logit_glm",
+    """WITH RECURSIVE rows AS (SELECT feature_10 / 1000 AS x, CAST(salary_category = 'High' AS INTEGER) AS y_high FROM postings WHERE feature_10 IS NOT NULL),
+    newton(k, b0, b1, s0, s1) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+      SELECT k + 1, b0 + (d * g0 - b * g1) / (a * d - b * b), b1 + (a * g1 - b * g0) / (a * d - b * b), sqrt(d / (a * d - b * b)), sqrt(a / (a * d - b * b))
+      FROM (SELECT k, b0, b1, sum(y_high - p) AS g0, sum((y_high - p) * x) AS g1, sum(p * (1 - p)) AS a, sum(p * (1 - p) * x) AS b, sum(p * (1 - p) * x * x) AS d
+        FROM (SELECT k, b0, b1, x, y_high, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM newton, rows WHERE k < 12) GROUP BY k, b0, b1))
+    SELECT 'intercept' AS term, round(b0, 4) AS coefficient, round(s0, 4) AS std_error FROM newton WHERE k = 12
+    UNION ALL SELECT 'x', round(b1, 4), round(s1, 4) FROM newton WHERE k = 12""",
+    ("postings",),
+)
 def _(t):
-    return models.glm_table(models.binary_logit_glm(_logit_rows(t), ["x"], "y_high"), ["x"], t.spark)
+    out = models.glm_table(models.binary_logit_glm(_logit_rows(t), ["x"], "y_high"), ["x"], t.spark)
+    return rounded(out.select("term", "coefficient", "std_error"), "coefficient", "std_error", digits=4)
 
 
 @query(
@@ -387,6 +411,25 @@ def _(t):
     return rounded(out, "c_prob_0", "c_prob_1", "c_prob_2", "c_min_dist")
 
 
+@query(
+    "cluster_onehot_given_centers",
+    """WITH d AS (SELECT id, job_desc[1] <> 0 AS ok, sqrt(list_sum(list_transform(job_desc, lambda e: e * e))) AS d0,
+      sqrt(list_sum(list_transform(job_desc, lambda e: (e - 0.01::DOUBLE) * (e - 0.01::DOUBLE)))) AS d1,
+      sqrt(list_sum(list_transform(job_desc, lambda e: (e + 0.01::DOUBLE) * (e + 0.01::DOUBLE)))) AS d2 FROM blocks),
+    c AS (SELECT id, CASE WHEN NOT ok THEN 0 WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS c FROM d)
+    SELECT id, CAST(c = 0 AS DOUBLE) AS c_0, CAST(c = 1 AS DOUBLE) AS c_1, CAST(c = 2 AS DOUBLE) AS c_2 FROM c""",
+    ("blocks",),
+)
+def _(t):
+    from gradus.operators.features import BlockStats
+
+    plain = BlockStats((0.0,) * DIM, (0.0,) * DIM, (1.0,) * DIM)
+    centers = ((0.0,) * DIM, (0.01,) * DIM, (-0.01,) * DIM)
+    fit = clustering.ClusterFeatures(plain, centers, (0.25, 0.25, 0.5, 1.0), "first")
+    rows = t.blocks.select("id", arrays.zero_to_null_array(F.col("job_desc")).alias("v"))
+    return clustering.apply_cluster_onehot(rows, fit, "v", "c").drop("v")
+
+
 @query("preprocess_clustered")
 def _(t):
     return preprocess.preprocess_clustered(t.candidates, VECTOR_SCHEMA, lookups.state_salary(t.spark), DIM, 3, keep=["id"])
