@@ -267,7 +267,6 @@ def fit_block(df: DataFrame, vec: str, dim: int) -> BlockStats:
     Filling with the mean leaves the mean unchanged and shrinks the variance by
     the share of present values, so one pass gives both fits.
     """
-    n = df.count()
     rows = {r["pos"]: r for r in collect_small(vector_moments(df, vec))}
     mean, scale = [], []
     for i in range(dim):
@@ -277,7 +276,7 @@ def fit_block(df: DataFrame, vec: str, dim: int) -> BlockStats:
             scale.append(1.0)
             continue
         mean.append(r["mean"])
-        var = r["var_pop"] * r["n"] / n
+        var = r["var_pop"] * r["n"] / r["rows"]
         scale.append(var ** 0.5 if var > 0 else 1.0)
     return BlockStats(tuple(mean), tuple(mean), tuple(scale))
 

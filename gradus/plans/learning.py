@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from gradus.functions import arrays
 from gradus.operators import clustering, diagnostics, evaluation, lookups, models, ordinal, outliers, preprocess
-from gradus.operators.features import fit_columns
 from gradus.plans.registry import query
 from gradus.plans.selections import NAMES
 from gradus.plans.standins import DIM, VECTOR_SCHEMA
 from gradus.plans.statistics import rounded
-from gradus.plans.training import ChainOptions, generate_predictions, run_experiments, train_best_model
+from gradus.plans.training import ChainOptions, fit_chain, generate_predictions, run_experiments, train_best_model, training_rows
 
 SMALL_TREES = {"trees": 5, "depth": 3, "rate": 0.3, "subsample": 1.0, "columns": 0.7}
 
@@ -447,7 +446,9 @@ def _(t):
 @query("generate_predictions")
 def _(t):
     dim = lookups.state_salary(t.spark)
-    chain, _ = train_best_model(t.candidates, VECTOR_SCHEMA, dim, _small_chain(outliers=False), folds=2)
+    opts = _small_chain(outliers=False)
+    kept, _, _ = training_rows(t.candidates, VECTOR_SCHEMA, dim, opts)
+    chain = fit_chain(kept, VECTOR_SCHEMA, dim, "y", opts)
     table, errors = generate_predictions(chain, t.candidates.drop("salary_category"), dim)
     if errors.head(1):
         raise ValueError(f"invalid predictions: {errors.collect()}")

@@ -226,6 +226,29 @@ def _(t):
     return selection.select_vote(tables, 32, DIM)
 
 
+def _chosen(scores: str) -> str:
+    tail = "SELECT pos FROM (SELECT pos, row_number() OVER (ORDER BY score DESC NULLS LAST, pos) AS rk FROM sc) WHERE rk <= 32"
+    return f"SELECT pos FROM ({scores} {tail})"
+
+
+@query(
+    "select_vote_rule",
+    f"""SELECT {_NAME} AS feature, CAST(pos AS INTEGER) AS position, CAST(votes AS DOUBLE) AS score, CAST(rk AS INTEGER) AS rank, rk <= 32 AS selected FROM
+    (SELECT pos, votes, row_number() OVER (ORDER BY votes >= 2 DESC, CASE WHEN votes >= 2 THEN 0 ELSE -votes END, pos) AS rk FROM
+      (SELECT p.pos, count(v.pos) AS votes FROM (SELECT unnest(range(0, 64)) AS pos) p LEFT JOIN
+        ({_chosen(_ANOVA)} UNION ALL {_chosen(_MI)} UNION ALL {_chosen(_CHI2)}) v ON v.pos = p.pos GROUP BY 1))""",
+    ("blocks",),
+)
+def _(t):
+    b = t.blocks
+    tables = [
+        selection.select_anova(b, "vec", "y", NAMES, 32),
+        selection.select_mutual_info(b, "vec", "y", NAMES, 32),
+        selection.select_chi2(b, "vec", "y", NAMES, 32),
+    ]
+    return selection.select_vote(tables, 32, DIM)
+
+
 @query("importance_table")
 def _(t):
     imp = selection.forest_importances(t.blocks, "vec", "y", trees=20)

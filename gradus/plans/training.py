@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.bounds import collect_small
 from gradus.functions.scalars import ordinal_decode, ordinal_encode
 from gradus.functions.schema import FeatureSchema
 from gradus.operators import evaluation, outliers, predictions, preprocess, selection
@@ -74,25 +73,32 @@ def drop_training_outliers(df: DataFrame, schema: FeatureSchema, dim: DataFrame,
     return outliers.remove_outliers(df, flags, id_col), flags
 
 
-def train_best_model(df: DataFrame, schema: FeatureSchema, dim: DataFrame, opts: ChainOptions, folds: int = 10, seed: int = 42):
-    """(fitted chain, one-row summary). ``df`` has the id, the features and the text target."""
-    id_col, y = schema.id, "y"
-    coded = df.withColumn(y, ordinal_encode(F.col(schema.target))).drop(schema.target).persist()
+def training_rows(df: DataFrame, schema: FeatureSchema, dim: DataFrame, opts: ChainOptions):
+    """(coded rows without outliers, all rows, outliers): persisted once for every later fit."""
+    coded = df.withColumn("y", ordinal_encode(F.col(schema.target))).drop(schema.target).persist()
     n = coded.count()
-    kept, n_out = coded, 0
-    if opts.outliers:
-        inliers, flags = drop_training_outliers(coded, schema, dim, id_col, opts)
-        n_out = flags.filter("is_outlier").count()
-        kept = inliers.persist()
-    folded = evaluation.stratified_kfold(kept, id_col, y, folds, seed)
+    if not opts.outliers:
+        return coded, n, 0
+    inliers, flags = drop_training_outliers(coded, schema, dim, schema.id, opts)
+    return inliers.persist(), n, flags.filter("is_outlier").count()
+
+
+def cross_validate_chain(kept: DataFrame, schema: FeatureSchema, dim: DataFrame, opts: ChainOptions, folds: int, seed: int = 42):
+    """Mean and population std of the accuracy; the whole chain is refitted in every fold."""
+    folded = evaluation.stratified_kfold(kept, schema.id, "y", folds, seed)
 
     def fit_predict(train: DataFrame, held_out: DataFrame) -> DataFrame:
-        return fit_chain(train, schema, dim, y, opts).score(held_out, dim, [id_col, y, "fold"])
+        return fit_chain(train, schema, dim, "y", opts).score(held_out, dim, [schema.id, "y", "fold"])
 
-    scores = evaluation.cross_val_score(folded, fit_predict, folds, y)
-    cv = evaluation.cross_val_summary(scores).first()
-    chain = fit_chain(kept, schema, dim, y, opts)
-    train_accuracy = evaluation.accuracy(chain.score(kept, dim, [id_col, y]), y, "prediction").first()["accuracy"]
+    return evaluation.cross_val_summary(evaluation.cross_val_score(folded, fit_predict, folds, "y")).first()
+
+
+def train_best_model(df: DataFrame, schema: FeatureSchema, dim: DataFrame, opts: ChainOptions, folds: int = 10, seed: int = 42):
+    """(fitted chain, one-row summary). ``df`` has the id, the features and the text target."""
+    kept, n, n_out = training_rows(df, schema, dim, opts)
+    cv = cross_validate_chain(kept, schema, dim, opts, folds, seed)
+    chain = fit_chain(kept, schema, dim, "y", opts)
+    train_accuracy = evaluation.accuracy(chain.score(kept, dim, [schema.id, "y"]), "y", "prediction").first()["accuracy"]
     summary = df.sparkSession.createDataFrame(
         [(n, n_out, len(chain.positions), cv["mean"], cv["std"], folds, train_accuracy)],
         "n_rows bigint, n_outliers bigint, n_features int, cv_accuracy double, cv_std double, folds int, train_accuracy double",
@@ -113,7 +119,8 @@ def run_experiments(df: DataFrame, schema: FeatureSchema, dim: DataFrame, config
     names = [{"name": n} for n in configs]
 
     def run(c: Mapping) -> float:
-        _, summary = train_best_model(df, schema, dim, configs[c["name"]], folds)
-        return summary.first()["cv_accuracy"]
+        opts = configs[c["name"]]
+        kept, _, _ = training_rows(df, schema, dim, opts)
+        return cross_validate_chain(kept, schema, dim, opts, folds)["mean"]
 
     return evaluation.experiment_grid(df.sparkSession, names, run)
