@@ -29,7 +29,7 @@ def confusion_matrix(df: DataFrame, y: str, pred: str, classes: Sequence) -> Dat
     """One row per true class, one column per predicted class, all classes present."""
     dim = df.sparkSession.createDataFrame([(c,) for c in classes], f"{y} {df.schema[y].dataType.simpleString()}")
     cells = df.groupBy(y).agg(*[F.count_if(F.col(pred) == c).alias(f"pred_{c}") for c in classes])
-    return F.broadcast(dim).join(cells, y, "left").fillna(0, subset=[f"pred_{c}" for c in classes])
+    return dim.join(cells, y, "left").fillna(0, subset=[f"pred_{c}" for c in classes])
 
 
 def per_class_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:

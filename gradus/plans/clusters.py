@@ -89,7 +89,7 @@ def _(t):
     return both.filter(F.col("p.v").isNull()).select("id", F.col("pos").cast("bigint").alias("pos"), F.round("p.imputed", 6).alias("value"))
 
 
-_POINTS = "points AS (SELECT id, [vec[1], vec[2], vec[3]] AS v FROM blocks)"
+_POINTS = "points AS (SELECT id, vec AS v FROM blocks)"
 _DBSCAN = """near AS (SELECT a.id AS id, b.id AS other FROM points a JOIN points b ON list_distance(a.v, b.v) <= {eps}),
     core AS (SELECT id FROM near GROUP BY 1 HAVING count(*) >= {m}),
     ce AS (SELECT near.id, other FROM near JOIN core c1 ON c1.id = near.id JOIN core c2 ON c2.id = other),
@@ -103,27 +103,27 @@ _DBSCAN = """near AS (SELECT a.id AS id, b.id AS other FROM points a JOIN points
 
 
 def _points(t):
-    return t.blocks.select("id", F.slice("vec", 1, 3).alias("v"))
+    return t.blocks.select("id", F.col("vec").alias("v"))
 
 
-@query("dbscan", f"WITH RECURSIVE {_POINTS}, {_DBSCAN.format(eps=0.07, m=6)} SELECT * FROM res", ("blocks",))
+@query("dbscan", f"WITH RECURSIVE {_POINTS}, {_DBSCAN.format(eps=1.17, m=4)} SELECT * FROM res", ("blocks",))
 def _(t):
-    return density.dbscan(_points(t), "id", "v", 0.07, 6)
+    return density.dbscan(_points(t), "id", "v", 1.17, 4)
 
 
 @query(
     "dbscan_search",
-    f"""WITH RECURSIVE {_POINTS}, {_DBSCAN.format(eps=0.06, m=6)},
+    f"""WITH RECURSIVE {_POINTS}, {_DBSCAN.format(eps=1.12, m=3)},
     kept AS (SELECT res.id, cluster, v FROM res JOIN points ON points.id = res.id WHERE cluster >= 0),
     d AS (SELECT a.id, a.cluster, b.cluster AS oc, sum(list_distance(a.v, b.v)) AS tot, count(*) AS n FROM kept a JOIN kept b ON true GROUP BY 1, 2, 3),
     ab AS (SELECT id, max(tot / nullif(n - 1, 0)) FILTER (WHERE cluster = oc) AS a, min(tot / n) FILTER (WHERE cluster <> oc) AS b FROM d GROUP BY 1)
-    SELECT 0.06::DOUBLE AS eps, 6 AS min_pts, CAST((SELECT max(cluster) + 1 FROM res) AS INTEGER) AS n_clusters,
+    SELECT 1.12::DOUBLE AS eps, 3 AS min_pts, CAST((SELECT max(cluster) + 1 FROM res) AS INTEGER) AS n_clusters,
     round(100.0 * (SELECT count(*) FROM res WHERE cluster < 0) / (SELECT count(*) FROM res), 6) AS noise_percent,
     CASE WHEN (SELECT max(cluster) FROM res) > 0 THEN round((SELECT avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) FROM ab), 6) END AS silhouette""",
     ("blocks",),
 )
 def _(t):
-    return rounded(density.dbscan_search(_points(t), "id", "v", [0.06], [6]), "noise_percent", "silhouette")
+    return rounded(density.dbscan_search(_points(t), "id", "v", [1.12], [3]), "noise_percent", "silhouette")
 
 
 @query(
@@ -202,7 +202,7 @@ def _(t):
 
 @query("gaussian_mixture")
 def _(t):
-    out = clustering.gaussian_mixture(t.blocks.select("id", F.slice("vec", 1, 8).alias("vec")), "vec", 3, ["id"], max_iter=10)
+    out = clustering.gaussian_mixture(t.blocks.select("id", "vec"), "vec", 3, ["id"], max_iter=10)
     return out.select("id", "cluster", F.array_max("responsibility").alias("responsibility"))
 
 

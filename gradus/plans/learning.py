@@ -26,7 +26,7 @@ def _(t):
 
 @query("outlier_elliptic")
 def _(t):
-    return outliers.outlier_elliptic(t.blocks.select("id", F.slice("vec", 1, 8).alias("vec")), "id", "vec").select("id", "score", "is_outlier")
+    return outliers.outlier_elliptic(t.blocks, "id", "vec").select("id", "score", "is_outlier")
 
 
 @query("outlier_vote")
@@ -137,10 +137,6 @@ def _(t):
     return out.select("id", "y", "cum_0", "cum_1", arrays.threshold_decode([F.col("cum_0"), F.col("cum_1")]).alias("prediction"))
 
 
-def _short(t, n=6):
-    return t.blocks.select("id", "y", F.slice("vec", 1, n).alias("v"))
-
-
 @query("proportional_odds")
 def _(t):
     rows = t.coded.select("id", "y", F.array(F.col("feature_2") / 100, F.col("feature_3").cast("double")).alias("v"))
@@ -154,8 +150,8 @@ def _(t):
 
 @query("ordinal_immediate_threshold")
 def _(t):
-    rows = _short(t)
-    model = ordinal.fit_immediate_threshold(rows, "v", "y", 6, 1.0)
+    rows = t.blocks.select("id", "y", F.col("vec").alias("v"))
+    model = ordinal.fit_immediate_threshold(rows, "v", "y", DIM, 1.0)
     return ordinal.apply_threshold_cuts(rows, model, "v").select("id", "y", "prediction")
 
 

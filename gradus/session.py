@@ -18,7 +18,7 @@ def local_session(app: str = "gradus", cores: int | str = "*", shuffle_partition
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.codegen.cache.maxEntries", "400")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
