@@ -61,12 +61,20 @@ def clip_renormalize(probs: Column) -> Column:
 
 
 def ordinal_probabilities(cum: Sequence[Column]) -> Column:
-    """Class probabilities from P(y > class i), clipped and renormalised."""
+    """Class probabilities from P(y > class i), clipped and renormalised.
+
+    The number of classes is known, so this is plain arithmetic inside generated
+    code rather than a lambda over an array.
+    """
     cum = list(cum)
     parts = [F.lit(1.0) - cum[0]]
     parts += [cum[i - 1] - cum[i] for i in range(1, len(cum))]
     parts.append(cum[-1])
-    return clip_renormalize(F.array(*parts))
+    clipped = [F.greatest(p, F.lit(0.0)) for p in parts]
+    total = clipped[0]
+    for p in clipped[1:]:
+        total = total + p
+    return F.array(*[p / F.nullif(total, F.lit(0.0)) for p in clipped])
 
 
 def threshold_decode(cum: Sequence[Column]) -> Column:

@@ -132,6 +132,12 @@ def fit_pca(df: DataFrame, vec: str, k: int) -> PcaFit:
 
 
 def dot(vec: Column, weights: Sequence[float]) -> Column:
+    """Weighted sum of the elements; short vectors become plain arithmetic."""
+    if len(weights) <= 32:
+        total = F.get(vec, F.lit(0)) * F.lit(float(weights[0]))
+        for i, w in enumerate(weights[1:], 1):
+            total = total + F.get(vec, F.lit(i)) * F.lit(float(w))
+        return total
     fixed = arrays.vector_literal(weights)
     return F.aggregate(F.zip_with(vec, fixed, lambda x, w: x * w), F.lit(0.0), lambda acc, v: acc + v)
 

@@ -6,7 +6,6 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,8 +83,8 @@ def multinomial_logit_summary(df: DataFrame, vec: str, y: str, names: Sequence[s
     k, q = w.shape
     m = (k - 1) * q
 
-    def part(pdf: pd.DataFrame) -> np.ndarray:
-        x = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"].to_numpy()).astype(float)])
+    def part(batch: dict[str, np.ndarray]) -> np.ndarray:
+        x = np.column_stack([np.ones(len(batch["x"])), batch["x"]])
         s = x @ w.T
         p = np.exp(s - s.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -266,8 +265,8 @@ def _fit_thresholds(df: DataFrame, vec: str, y: str, dim: int, terms, link: str,
     m = len(cuts) + dim
 
     def evaluate(b, c):
-        def part(pdf: pd.DataFrame) -> np.ndarray:
-            return terms(np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(), b, c, link)
+        def part(batch: dict[str, np.ndarray]) -> np.ndarray:
+            return terms(batch["x"], batch["y"], b, c, link)
 
         out = distributed_sum(data, ["x", "y"], part, 1 + m + m * m)
         loss, grad, info = out[0], out[1 : 1 + m], out[1 + m :].reshape(m, m)

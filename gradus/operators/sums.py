@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus.bounds import collect_small
 
 
-def distributed_sum(df: DataFrame, cols: Sequence[str], contribution: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
+def column_array(column: pa.Array) -> np.ndarray:
+    """A numeric column as a vector, a list column of equal lengths as a matrix, without Python objects."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
+def distributed_sum(
+    df: DataFrame, cols: Sequence[str], contribution: Callable[[dict[str, np.ndarray]], np.ndarray], size: int
+) -> np.ndarray:
     """Sum over all batches of a fixed-length vector computed per Arrow batch.
 
     Each task adds up its own batches and ships ``size`` numbers, which are
@@ -21,12 +30,12 @@ def distributed_sum(df: DataFrame, cols: Sequence[str], contribution: Callable[[
 
     def run(batches):
         total = np.zeros(size)
-        for pdf in batches:
-            if len(pdf):
-                total += contribution(pdf)
-        yield pd.DataFrame({"i": np.arange(size), "v": total})
+        for batch in batches:
+            if batch.num_rows:
+                total += contribution({c: column_array(batch.column(i)) for i, c in enumerate(cols)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
-    parts = df.select(*cols).mapInPandas(run, "i int, v double")
+    parts = df.select(*cols).mapInArrow(run, "i int, v double")
     out = np.zeros(size)
     for r in collect_small(parts.groupBy("i").agg(F.sum("v").alias("v")), max(size, 1)):
         out[r["i"]] = r["v"]

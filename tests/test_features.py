@@ -1,4 +1,4 @@
-"""Feature operators, including the behaviours the reference tests assert, on deterministic fixtures."""
+"""Feature operators on deterministic fixtures: selection, zero handling, state and flag, months, shapes, no nulls."""
 
 import datetime
 
