@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from gradus.functions.scalars import ORDINAL_CODES
 from gradus.operators import evaluation, predictions, tracking
 from gradus.plans.registry import query
 from gradus.plans.statistics import rounded

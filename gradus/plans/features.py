@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradus.functions import arrays
 from gradus.operators import features, lookups
 from gradus.plans.lookups import _DIM
 from gradus.plans.registry import query

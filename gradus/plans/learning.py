@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
 from gradus.functions import arrays
 from gradus.operators import clustering, diagnostics, evaluation, lookups, models, ordinal, outliers, preprocess
 from gradus.plans.registry import query
-from gradus.plans.selections import NAMES
 from gradus.plans.standins import DIM, VECTOR_SCHEMA
 from gradus.plans.statistics import rounded
 from gradus.plans.training import ChainOptions, fit_chain, generate_predictions, run_experiments, train_best_model, training_rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.functions.scalars import STATE_MEAN_SALARY
-from gradus.operators import aggregates, lookups, ranking
+from gradus.operators import lookups, ranking
 from gradus.plans.registry import query
 
 _STATES_SQL = ", ".join(f"('{k}', {v})" for k, v in STATE_MEAN_SALARY.items())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradus.operators import aggregates, outliers, selection
+from gradus.operators import outliers, selection
 from gradus.plans.registry import query
 from gradus.plans.standins import DIM
 from gradus.plans.statistics import rounded

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from gradus.functions import arrays
 from gradus.operators import aggregates
-from gradus.operators.quantiles import exact_quantiles
 from gradus.plans.registry import query
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.plans.registry import query
-from gradus.sources.tables import assign_row_ids, require_columns, scan_slice, scan_table, split_features_target
+from gradus.sources.tables import assign_row_ids, scan_slice, scan_table, split_features_target
 
 
 @query("scan_table", "SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders")
