@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import exact, simhash
+from gradus.llm import exact, mixing, simhash, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +35,13 @@ def _simhash(spark, table):
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (t)""")
 def _exact(spark, table):
     return exact.exact_duplicates(table("documents"))
+
+
+@query("op6_mixing_to_target_weights")
+def _mixing(spark, table):
+    return mixing.mix(table("documents")).rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_embedding_near_dedup")
+def _vectors(spark, table):
+    return vectors.near_vectors(table("embeddings"))
