@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import exact, mixing, simhash, vectors
+from gradus.llm import exact, licenses, mixing, secret_scan, simhash, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +45,13 @@ def _mixing(spark, table):
 @query("op9_embedding_near_dedup")
 def _vectors(spark, table):
     return vectors.near_vectors(table("embeddings"))
+
+
+@query("op7_license_scan", licenses.license_sql())
+def _licenses(spark, table):
+    return licenses.license_scan(table("documents"))
+
+
+@query("op8_secret_scan")
+def _secrets(spark, table):
+    return secret_scan.secret_scan(table("documents")).drop("secrets")
