@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import exact, licenses, mixing, secret_scan, simhash, vectors
+from gradus.llm import exact, licenses, mixing, secret_scan, simhash, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,8 @@ def _licenses(spark, table):
 @query("op8_secret_scan")
 def _secrets(spark, table):
     return secret_scan.secret_scan(table("documents")).drop("secrets")
+
+
+@query("op3_toxicity")
+def _toxicity(spark, table):
+    return toxicity.toxicity(table("documents"), table("labels"))
