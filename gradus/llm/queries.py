@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import exact, licenses, mixing, secret_scan, simhash, toxicity, vectors
+from gradus.llm import exact, licenses, mixing, packing, secret_scan, simhash, token_files, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +61,13 @@ def _secrets(spark, table):
 @query("op3_toxicity")
 def _toxicity(spark, table):
     return toxicity.toxicity(table("documents"), table("labels"))
+
+
+@query("op5_token_id_files")
+def _token_files(spark, table):
+    return token_files.encode_and_read(table("documents"), public_tokenizers.path("word_bpe_49k.json"), 2).drop("ids")
+
+
+@query("op10_best_fit_packing")
+def _packing(spark, table):
+    return packing.pack(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
