@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import exact, licenses, mixing, packing, secret_scan, simhash, token_files, toxicity, vectors
+from gradus.llm import exact, language_model, licenses, mixing, packing, secret_scan, simhash, token_files, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,3 +71,8 @@ def _token_files(spark, table):
 @query("op10_best_fit_packing")
 def _packing(spark, table):
     return packing.pack(table("documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_language_model_scores")
+def _scores(spark, table):
+    return language_model.score_documents(table("documents"))

@@ -51,3 +51,14 @@ class WordTokenizer:
         last = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]  # without end ids
         out = np.insert(ids, last, np.uint32(end_id)) if n else ids
         return out, last + np.arange(1, n + 1)
+
+
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, each word's place among them, end of each text among the words): A-Z in lower case, cut at ASCII white space."""
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
+    flat = pieces.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # blanks at the ends of a text give empty pieces
+    ends = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[np.cumsum(counts)] if len(counts) else np.zeros(0, np.int64)
+    coded = flat.filter(some).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), ends.astype(np.int64)
