@@ -74,3 +74,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     placed = placed.withColumn("__s", scatter)
     joined = placed.join(cold, (F.col(key) == F.col("__ck")) & (F.col("__s") == F.col("__cs")), "left")
     return joined.select(*rows.columns, *[F.coalesce(f"__h_{c}", f"__c_{c}").alias(c) for c in cols])
+
+
+#: dropped keys up to which they are broadcast to the scan of the documents
+BROADCAST_KEYS = 500_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` aren't the columns of ``dropped`` (nulls are equal); keeps the texts out of a shuffle if few are dropped."""
+    dropped = checkpointed(dropped.toDF(*[f"__d{i}" for i in range(len(keys))]).distinct())
+    few = dropped.count() <= BROADCAST_KEYS
+    same = None
+    for i, key in enumerate(keys):
+        one = key.eqNullSafe(F.col(f"__d{i}"))
+        same = one if same is None else same & one
+    return docs.join(F.broadcast(dropped) if few else dropped, same, "left_anti")

@@ -28,6 +28,8 @@ MAX_SOURCES = 100_000
 #: blocks of a source, and pieces of the block that is cut: bits of the row hash
 BLOCK_BITS = 10
 SHARD_WORDS = 50_000_000
+#: blocks of all sources up to which their draws are broadcast
+BROADCAST_BLOCKS = 200_000
 #: tree nodes from which on subtrees are split in tasks
 DRIVER_NODES = 64
 
@@ -87,7 +89,7 @@ def _piece(u: str, level: int):
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, shard_words: int = SHARD_WORDS, seed: int = 17,
-    keep: Sequence[str] = (),
+    keep: bool = False,
 ) -> Mix:
     """Draws documents so that each source's words come near its target.
 
@@ -95,15 +97,15 @@ def mix(
     times all words, and stop at ``cap`` times their own (at most 2 copies a
     document for a cap of 2). A word is a run of other characters than
     ``[\\x20\\x09-\\x0D]``; a null text has none. Rows: doc_id, size,
-    source_size, target, taken (words of all copies), draws, and the columns
-    ``keep``. The choice depends on (id, source, size) and the seed alone:
+    source_size, target, taken (words of all copies), draws, and with
+    ``keep`` the whole document as ``kept``. The choice depends on (id, source, size) and the seed alone:
     reruns agree, repeated rows are all taken or left, null ids are an id like
     others. Texts without words are drawn with their block. Empty tables give
     empty results.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("__source"), size.alias("size"), *[F.col(c).alias(f"__k_{i}") for i, c in enumerate(keep)])
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("__source"), size.alias("size"), *([F.struct("*").alias("kept")] if keep else []))
     sized = sized.withColumn("__u", F.xxhash64(F.lit(seed), "doc_id", "__source", "size"))
     narrow = sized.select("doc_id", "__source", "size", "__u")
     if not keep:
@@ -136,11 +138,11 @@ def mix(
     by_block = dealt.groupBy("__i", "__block").agg(F.collect_list(F.struct("turn", "shard")).alias("__draws"))
     source_known = sized.join(known, sized["__source"].eqNullSafe(known["__source"]), "inner").drop(known["__source"])
     source_known = source_known.join(marks, "__i", "left").withColumn("__block", _piece("__u", 0))
-    rows = source_known.join(by_block, ["__i", "__block"], "left")
+    few = len(table) << BLOCK_BITS <= BROADCAST_BLOCKS  # then the documents aren't shuffled
+    rows = source_known.join(F.broadcast(by_block) if few else by_block, ["__i", "__block"], "left")
     inside = F.coalesce(_below("__u", "__cut"), F.lit(False))
     draws = F.filter(F.coalesce("__draws", F.array().cast("array<struct<turn:int,shard:int>>")), lambda d: (d["turn"] > 0) | inside)
-    kept = [F.col(f"__k_{i}").alias(c) for i, c in enumerate(keep) if c not in ("size", "source_size", "target", "taken", "draws", "doc_id")]
-    rows = rows.withColumn("draws", draws).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "draws", "__u", *kept)
+    rows = rows.withColumn("draws", draws).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "draws", "__u", *(["kept"] if keep else []))
     return Mix(rows, shards)
 
 

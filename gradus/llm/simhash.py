@@ -48,17 +48,27 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every text as a signed long."""
+def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Other hashes of the same shingles; the hashes themselves for turn 0."""
+    for _ in range(turn):
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+    return hashes
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, prints: int = 1) -> DataFrame:
+    """(doc_id, fp0, fp1, ...): the fingerprints of every text as signed longs."""
     small_batches(docs.sparkSession)
+    names = [f"fp{i}" for i in range(prints)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        hashes = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+        fps = [np.array([fingerprint(remixed(h, i)) for h in hashes], np.uint64).view(np.int64) for i in range(prints)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, fps)], names=["doc_id", *names])
 
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(batches_of(run), f"doc_id {kind}, fp long")
+    return rows.mapInArrow(batches_of(run), ", ".join([f"doc_id {kind}", *(f"{n} long" for n in names)]))
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -107,23 +117,43 @@ def links(crowds: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
     return looked.join(table, same & near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+def value_groups(values: DataFrame, radius: int, parts: int) -> DataFrame:
+    """(fp, group): groups of distinct fingerprints linked by steps of at most ``radius`` bits."""
+    crowds = close_groups(values)
+    found = connected_components(links(crowds, radius, parts), "a", "b")
+    return crowds.join(found, crowds["crowd"] == found["node"], "left").select("fp", F.coalesce("component", "crowd").alias("group"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, parts: int = 3, prints: int = 1
+) -> DataFrame:
     """Groups of documents whose fingerprints are linked by chains of at most ``radius`` differing bits.
 
+    ``parts`` segments must allow at most one bit each. With several ``prints``
+    (independent fingerprints of the same shingles) a link by any of them counts.
+
     Returns a row per input row: doc_id, fingerprint (16 hex digits) and
     component_id, the smallest id of its group. A null text equals an empty
     one; texts without words have fingerprint zero and are linked like others.
     Repeated rows give repeated rows. Null ids count for no component_id; a
     group of null ids only has a null one. An empty table gives an empty result.
     """
-    hashed = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    # the first ids of equal fingerprints; a hot fingerprint is one row from each task
-    nodes = checkpointed(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    crowds = close_groups(nodes.select("fp"))
-    found = connected_components(links(crowds, radius), "a", "b")
-    grouped = crowds.join(found, crowds["crowd"] == found["node"], "left").select("fp", F.coalesce("component", "crowd").alias("group"))
-    grouped = checkpointed(nodes.join(grouped, "fp"))
+    names = [f"fp{i}" for i in range(prints)]
+    hashed = checkpointed(fingerprints(docs, id_col, text_col, shingle, prints).withColumn("fp", F.col("fp0") if prints == 1 else F.xxhash64(*names)))
+    # one node for equal fingerprints; a hot one is one row from each task
+    nodes = checkpointed(hashed.groupBy("fp", *names).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    grouped = nodes
+    for i, name in enumerate(names):
+        groups = value_groups(nodes.select(F.col(name).alias("fp")).distinct(), radius, parts)
+        grouped = grouped.join(groups.select(F.col("fp").alias(name), F.col("group").alias(f"group{i}")), name)
+    grouped = checkpointed(grouped.withColumn("group", F.col("group0")))
+    if prints > 1:  # groups of different fingerprints that share a document are one
+        tagged = [F.xxhash64(F.lit(i), f"group{i}") for i in range(prints)]
+        ties = grouped.select(F.explode(F.array(*[F.struct(tagged[0].alias("a"), t.alias("b")) for t in tagged[1:]])).alias("e")).select("e.*").distinct()
+        found = connected_components(ties, "a", "b")
+        grouped = grouped.withColumn("tag", tagged[0])
+        grouped = checkpointed(grouped.join(found, grouped["tag"] == found["node"], "left").withColumn("group", F.coalesce("component", "tag")).select("fp", "first_id", "n", "group"))
     smallest = grouped.groupBy("group").agg(F.min("first_id").alias("component_id"), F.count("*").alias("fps"))
     labelled = join_groups(grouped.select("fp", "n", "group"), checkpointed(smallest), "group", "fps", nodes.count())
     out = join_groups(hashed, labelled.select("fp", "n", "component_id"), "fp", "n", hashed.count())
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -218,18 +219,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 5
     return w
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every document."""
-    small_batches(docs.sparkSession)
+def score(model: Model):
+    """A function from a text column to a column of scores."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
         gains = model.gains()
-        x = np.array([features(gains(t)) for t in batch.column(1).to_pylist()])
-        p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
+        x = np.array([features(gains(t)) for t in texts]).reshape(len(texts), TOP + 3)
+        return pd.Series(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
 
-    rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(batches_of(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return lambda text: of(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -241,5 +240,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     like others. Without labels of both classes the only class there is (or
     0) is predicted.
     """
-    out = score(docs, learn(docs, labels, id_col, text_col, label_col), id_col, text_col)
+    small_batches(docs.sparkSession)
+    out = docs.select(F.col(id_col).alias("doc_id"), score(learn(docs, labels, id_col, text_col, label_col))(F.col(text_col)).alias("score"))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
