@@ -139,8 +139,9 @@ def _side(table: pa.Table) -> dict:
     unit = table.column("unit").combine_chunks()
     buckets = table.column("buckets").combine_chunks()
     n = table.num_rows
+    square = lambda x: x.flatten().to_numpy().reshape(n, len(x.flatten()) // max(1, n))
     return {
-        "unit": unit.flatten().to_numpy().reshape(n, -1), "buckets": buckets.flatten().to_numpy().reshape(n, -1),
+        "unit": square(unit), "buckets": square(buckets),
         "node": table.column("node").to_numpy(), "w": table.column("w").to_numpy(),
     }
 
