@@ -9,7 +9,7 @@ from gradus.session import checkpointed
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node that links reach, for every node with a link to another.
+    """(node, component): the smallest node that links reach, for every linked node but these smallest themselves.
 
     Alternates large-star and small-star steps: links to a node's neighbours
     become links to its smallest neighbour, until every component is a star.

@@ -39,9 +39,11 @@ PURE = 20
 TOP = 4
 FOLDS = 5
 
-#: both dictionaries end with it and every window starts with it: such a window always compresses, so none is stored raw
+#: both dictionaries end with it and TRAIL, and every window starts with it: such a window always compresses, so none is stored raw
 LEAD = b"\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19"
-PARAMETERS = dict(window_log=16, hash_log=13, chain_log=13, search_log=4, min_match=4, strategy=zstandard.STRATEGY_DFAST, write_content_size=0, write_checksum=0, write_dict_id=0)
+#: every window ends with it, as zstandard looks for no match in the last bytes
+TRAIL = b"\x1a\x1b\x1c\x1d\x1e\x1f\x7f\x00\x1a\x1c\x1e\x7f"
+PARAMETERS = dict(window_log=16, hash_log=13, chain_log=13, search_log=1, min_match=4, strategy=zstandard.STRATEGY_FAST, write_content_size=0, write_checksum=0, write_dict_id=0)
 
 
 def held_out(doc_id) -> object:
@@ -79,12 +81,12 @@ class Model:
 
     def gains(self):
         """A function from a text to the bytes each window saves with the toxic dictionary."""
-        plain, toxic = (_compressor(c + LEAD).compress for c in (self.background, self.background + self.toxic + b" "))
+        plain, toxic = (_compressor(c + TRAIL + LEAD).compress for c in (self.background, self.background + self.toxic + b" "))
 
         def of(text: str) -> np.ndarray:
             line, starts = keyed(text)
             cuts = [*starts[::WINDOW_WORDS].tolist(), len(line)]
-            windows = [LEAD + b" " + line[a:b] for a, b in zip(cuts, cuts[1:])]
+            windows = [LEAD + b" " + line[a:b] + TRAIL for a, b in zip(cuts, cuts[1:])]
             return np.fromiter((len(plain(w)) - len(toxic(w)) for w in windows), np.int64, len(windows))
 
         return of
