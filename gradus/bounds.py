@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -30,19 +32,26 @@ def collected_or_none(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> list[Row
 
 
 def join_dimension(
-    facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left", max_rows: int = BROADCAST_ROWS
+    facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left", max_rows: int = BROADCAST_ROWS, null_safe: bool = False
 ) -> DataFrame:
     """Join a large table with one that is usually small.
 
     The dimension is evaluated once. Up to ``max_rows`` it is broadcast, so the
     facts are not shuffled; beyond that the join is left to the optimizer
-    (sort-merge with adaptive skew handling).
+    (sort-merge with adaptive skew handling). With ``null_safe`` a null key
+    equals a null key.
     """
     rows = collected_or_none(dim, max_rows)
-    if rows is None:
-        return facts.join(dim, on, how)
-    small = facts.sparkSession.createDataFrame(rows, dim.schema)
-    return facts.join(F.broadcast(small), on, how)
+    other = dim if rows is None else F.broadcast(facts.sparkSession.createDataFrame(rows, dim.schema))
+    return null_safe_join(facts, other, on, how) if null_safe else facts.join(other, on, how)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
+    """Equi-join in which null keys meet each other; the keys of the left side stay."""
+    keys = [on] if isinstance(on, str) else list(on)
+    renamed = right.select(*[F.col(c).alias(f"__key_{c}" if c in keys else c) for c in right.columns])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__key_{k}" for k in keys])
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

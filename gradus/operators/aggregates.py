@@ -16,17 +16,11 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), col)
 
 
-def with_total(counts: DataFrame, n: str = "n") -> DataFrame:
-    """Share of each (already aggregated, small) row in the total."""
-    total = counts.agg(F.sum(n)).first()[0]
-    return counts.withColumn("share", safe_ratio(F.col(n), F.lit(total)))
-
-
 def value_shares(df: DataFrame, col: str) -> DataFrame:
-    """Count, share and percent per value. Only the counts are read twice, not the rows."""
+    """Count, share and percent per value. The rows are aggregated once; the one-row total comes from the same counts."""
     counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    total = df.count()
-    return counts.withColumn("share", safe_ratio(F.col("n"), F.lit(total))).withColumn("percent", F.col("share") * 100)
+    both = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("__total"))))
+    return both.withColumn("share", safe_ratio(F.col("n"), F.col("__total"))).withColumn("percent", F.col("share") * 100).drop("__total")
 
 
 def value_counts_all_categoricals(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -120,9 +114,9 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct().orderBy(col)
 
 
-def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+def crosstab(df: DataFrame, a: str, b: str, max_values: int = 10_000) -> DataFrame:
     """Contingency table, absent cells 0. ``b`` must have few values."""
-    values = sorted(r[0] for r in collect_small(df.filter(F.col(b).isNotNull()).select(b).distinct(), 10_000))
+    values = sorted(r[0] for r in collect_small(df.filter(F.col(b).isNotNull()).select(b).distinct(), max_values))
     return df.groupBy(a).agg(*[F.count_if(F.col(b) == v).alias(str(v)) for v in values])
 
 

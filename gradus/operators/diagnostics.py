@@ -14,12 +14,12 @@ from gradus.bounds import collect_small, safe_ratio
 from gradus.operators.quantiles import exact_quantiles
 
 
-def contingency_cells(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, observed, expected) for every combination. The rows are reduced to counts first;
+def contingency_cells(df: DataFrame, a: str, b: str, max_values: int = 10_000) -> DataFrame:
+    """(a, b, observed, expected) for every combination; ``b`` may have ``max_values`` values. The rows are reduced to counts first;
     margins and the grid of combinations come from the counts."""
     counts = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
     rows = counts.groupBy(a).agg(F.sum("n").alias("row_total"), F.map_from_entries(F.collect_list(F.struct(b, "n"))).alias("seen"))
-    columns = {r[b]: r["t"] for r in collect_small(counts.groupBy(b).agg(F.sum("n").alias("t")), 10_000)}
+    columns = {r[b]: r["t"] for r in collect_small(counts.groupBy(b).agg(F.sum("n").alias("t")), max_values)}
     total = sum(columns.values())
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias(b), F.lit(t).alias("column_total")) for k, t in sorted(columns.items())]))
     cells = rows.select(a, "row_total", "seen", grid.alias("c")).select(a, "row_total", "seen", "c.*")

@@ -12,7 +12,7 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.bounds import collect_small, safe_ratio
+from gradus.bounds import collect_small, null_safe_join, safe_ratio
 from gradus.operators.ordering import shuffled_rank
 from gradus.operators.quantiles import group_quantiles
 
@@ -204,7 +204,7 @@ def experiment_grid(spark: SparkSession, configs: Sequence[Mapping], run: Callab
         try:
             rows.append((c["name"], float(run(c)), None))
         except Exception as e:  # noqa: BLE001  one bad configuration must not stop the others
-            rows.append((c["name"], None, f"{type(e).__name__}: {e}"[:200]))
+            rows.append((c["name"], None, f"{type(e).__name__}: {e}"))
     best = max((r[1] for r in rows if r[1] is not None), default=None)
     return spark.createDataFrame(
         [(*r, r[1] is not None and r[1] == best) for r in rows], "name string, score double, error string, is_best boolean"
@@ -230,7 +230,7 @@ def cv_score_stats(scores: DataFrame, model: str, score: str) -> DataFrame:
         F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max")
     )
     quartiles = group_quantiles(scores, model, score, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    return moments.join(quartiles, model)
+    return null_safe_join(moments, quartiles, model)
 
 
 def training_curve(history: DataFrame, epoch: str, metrics: Sequence[str]) -> DataFrame:

@@ -112,35 +112,35 @@ def minmax_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Categories:
+    """Values with a column of their own, and the table (``value``) of the rare ones, which share a column."""
+
     col: str
     frequent: tuple
-    infrequent: tuple
-    has_infrequent: bool
-
-
-def fit_categories(df: DataFrame, col: str, min_count: int = 1) -> Categories:
-    """Sorted categories with their row counts; null is a category of its own (last)."""
-    rows = collect_small(df.groupBy(col).count(), MAX_CATEGORIES)
-    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else ""))
-    return Categories(
-        col,
-        tuple(r[0] for r in ordered if r["count"] >= min_count),
-        tuple(r[0] for r in ordered if r["count"] < min_count),
-        any(r["count"] < min_count for r in ordered),
-    )
+    rare: DataFrame | None = None
+
+
+def fit_categories(df: DataFrame, col: str, min_count: int = 1, max_columns: int = MAX_CATEGORIES) -> Categories:
+    """Sorted categories with at least ``min_count`` rows; null is a category of its own (last).
+
+    Only these are collected, as each makes a column (``max_columns`` at most);
+    the rare ones may be any number and stay a table.
+    """
+    counts = df.groupBy(F.col(col).alias("value")).count()
+    rows = collect_small(counts.filter(F.col("count") >= min_count).select("value"), max_columns)
+    ordered = sorted((r["value"] for r in rows), key=lambda v: (v is None, v if v is not None else ""))
+    rare = counts.filter(F.col("count") < min_count).select("value") if min_count > 1 else None
+    return Categories(col, tuple(ordered), None if rare is None or rare.isEmpty() else rare)
 
 
 def apply_one_hot(df: DataFrame, cats: Categories, drop: bool = True) -> DataFrame:
     """0/1 columns ``<col>_<value>``, rare ones in one column; unseen values give all zeros."""
     c = F.col(cats.col)
     hot = [F.when(c.eqNullSafe(F.lit(v)), 1.0).otherwise(0.0).alias(f"{cats.col}_{v}") for v in cats.frequent]
-    if cats.has_infrequent:
-        known = [v for v in cats.infrequent if v is not None]
-        rare = F.coalesce(c.isin(*known), F.lit(False)) if known else F.lit(False)
-        if None in cats.infrequent:
-            rare = rare | c.isNull()
-        hot.append(F.when(rare, 1.0).otherwise(0.0).alias(f"{cats.col}_infrequent_sklearn"))
     keep = [k for k in df.columns if not (drop and k == cats.col)]
+    if cats.rare is not None:
+        rare = cats.rare.select(F.col("value").alias(cats.col), F.lit(True).alias("__rare"))
+        df = join_dimension(df, rare, cats.col, null_safe=True)
+        hot.append(F.when(F.col("__rare"), 1.0).otherwise(0.0).alias(f"{cats.col}_infrequent_sklearn"))
     return df.select(*keep, *hot)
 
 

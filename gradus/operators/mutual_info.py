@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.bounds import ONE_TASK_ROWS, collect_small, join_dimension
-from gradus.operators.ordering import with_chunks
+from gradus.bounds import ONE_TASK_ROWS, collect_small
+from gradus.operators.ordering import running_rank
 
 
 def digamma(n: Column) -> Column:
@@ -19,18 +19,6 @@ def digamma(n: Column) -> Column:
     return reduce(lambda acc, i: acc - F.lit(1.0) / (n.cast("double") + i), range(6), series)
 
 
-def running_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], counted: str, name: str, max_rows: int) -> DataFrame:
-    """Number of counted rows before each row inside its key, through chunks of the first order column."""
-    cut = with_chunks(df, order[0], max_rows)
-    totals = cut.groupBy(*keys, "__chunk").agg(F.sum(counted).alias("__t"))
-    lower = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "__chunk", F.coalesce(F.sum("__t").over(lower), F.lit(0)).alias("__carry"))
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cut.withColumn("__r", F.coalesce(F.sum(counted).over(inside), F.lit(0)))
-    joined = join_dimension(ranked, carried, [*keys, "__chunk"], "inner")
-    return joined.withColumn(name, F.col("__r") + F.col("__carry")).drop("__chunk", "__r", "__carry")
-
-
 def kth_same_class_distance(long: DataFrame, k: int, max_rows: int) -> DataFrame:
     """Adds the distance to the k-th nearest row of the same (pos, c).
 

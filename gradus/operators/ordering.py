@@ -14,11 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.bounds import ONE_TASK_ROWS, join_dimension
+from gradus.bounds import ONE_TASK_ROWS, join_dimension, null_safe_join
 from gradus.session import checkpointed
 
-MAX_CHUNKS = 10_000
-
 
 def global_row_number(
     df: DataFrame, order: Sequence[Column], name: str, offset: int = 0, max_rows: int = ONE_TASK_ROWS
@@ -49,44 +47,29 @@ def global_row_number(
     )
 
 
-def with_chunks(df: DataFrame, order_col: str, max_rows: int = ONE_TASK_ROWS, name: str = "__chunk") -> DataFrame:
-    """Cut a table along a numeric or time column into chunks of about ``max_rows`` rows."""
-    n = df.count()
-    pieces = min(MAX_CHUNKS, math.ceil(n / max_rows))
+def with_chunks(df: DataFrame, order: Sequence[str], max_rows: int = ONE_TASK_ROWS, name: str = "__chunk") -> DataFrame:
+    """Cut a table along a total order into chunks of about ``max_rows`` rows; null sorts first.
+
+    The chunks are the ranges of a distributed sort, so any sortable type will
+    do, and equal first values are told apart by the later columns.
+    """
+    pieces = math.ceil(df.count() / max_rows)
     if pieces <= 1:
         return df.withColumn(name, F.lit(0))
-    x = numeric_order(df, order_col)
-    probs = [i / pieces for i in range(1, pieces)]
-    splits = df.select(F.percentile_approx(x, F.array(*map(F.lit, probs)), F.lit(10 * pieces))).first()[0]
-    splits = sorted(set(splits))
-    from pyspark.ml.feature import Bucketizer
-
-    edges = [float("-inf"), *splits, float("inf")]
-    cut = Bucketizer(splits=edges, inputCol="__x", outputCol="__b", handleInvalid="keep")
-    return cut.transform(df.withColumn("__x", x)).withColumn(name, F.col("__b").cast("int")).drop("__x", "__b")
-
-
-def numeric_order(df: DataFrame, col: str) -> Column:
-    """A double that sorts like ``col`` (numbers, dates and timestamps)."""
-    kind = df.schema[col].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(col).cast("double")
-    return F.col(col).cast("double")
+    return checkpointed(df.repartitionByRange(pieces, *order).withColumn(name, F.spark_partition_id()))
 
 
 def running_max(
     df: DataFrame, key: str, order_col: str, tie: str, value: str, name: str, max_rows: int = ONE_TASK_ROWS
 ) -> DataFrame:
-    """Cumulative maximum of ``value`` per key in the order (order_col, tie)."""
-    cut = with_chunks(df, order_col, max_rows)
+    """Cumulative maximum of ``value`` per key in the order (order_col, tie); null keys are one key, null order values come first."""
+    cut = with_chunks(df, [order_col, tie], max_rows)
     tops = cut.groupBy(key, "__chunk").agg(F.max(value).alias("__top"))
     earlier = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.select(key, "__chunk", F.max("__top").over(earlier).alias("__carry"))
     inside = Window.partitionBy(key, "__chunk").orderBy(order_col, tie)
     best = F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    joined = join_dimension(cut.withColumn("__best", best), carried, [key, "__chunk"], "inner")
+    joined = join_dimension(cut.withColumn("__best", best), carried, [key, "__chunk"], null_safe=True)
     return joined.withColumn(name, F.greatest("__best", "__carry")).drop("__chunk", "__best", "__carry")
 
 
@@ -94,16 +77,16 @@ def previous_value(
     df: DataFrame, key: str, order_col: str, tie: str, value: str, name: str, max_rows: int = ONE_TASK_ROWS
 ) -> DataFrame:
     """``value`` of the row before in the order (order_col, tie) of the key; null for the first."""
-    cut = with_chunks(df, order_col, max_rows)
-    ends = cut.groupBy(key, "__chunk").agg(F.max_by(value, F.struct(order_col, tie)).alias("__end"))
+    cut = with_chunks(df, [order_col, tie], max_rows)
+    ends = cut.groupBy(key, "__chunk").agg(F.max_by(F.struct(value), F.struct(order_col, tie)).alias("__end"))
     carried = ends.select(
-        key, "__chunk", F.lag("__end").over(Window.partitionBy(key).orderBy("__chunk")).alias("__carry")
+        key, "__chunk", F.lag("__end").over(Window.partitionBy(key).orderBy("__chunk"))[value].alias("__carry")
     )
     inside = Window.partitionBy(key, "__chunk").orderBy(order_col, tie)
     lagged = cut.withColumn("__first", F.row_number().over(inside) == 1).withColumn(
         "__lag", F.lag(value).over(inside)
     )
-    joined = join_dimension(lagged, carried, [key, "__chunk"], "inner")
+    joined = join_dimension(lagged, carried, [key, "__chunk"], null_safe=True)
     return joined.withColumn(name, F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__lag"))).drop(
         "__chunk", "__first", "__lag", "__carry"
     )
@@ -112,18 +95,30 @@ def previous_value(
 def competition_rank(
     df: DataFrame, key: str, score: str, name: str, max_rows: int = ONE_TASK_ROWS
 ) -> DataFrame:
-    """1 + number of rows of the key with a higher score (ties share the minimum)."""
+    """1 + number of rows of the key with a higher score (ties share the minimum); a null score is below all others."""
     levels = df.groupBy(key, score).agg(F.count("*").alias("__n"))
-    cut = with_chunks(levels, score, max_rows)
+    cut = with_chunks(levels, [score, key], max_rows)
     totals = cut.groupBy(key, "__chunk").agg(F.sum("__n").alias("__t"))
     higher = Window.partitionBy(key).orderBy(F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(key, "__chunk", F.coalesce(F.sum("__t").over(higher), F.lit(0)).alias("__carry"))
     inside = Window.partitionBy(key, "__chunk").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
     placed = join_dimension(
-        cut.withColumn("__above", F.coalesce(F.sum("__n").over(inside), F.lit(0))), carried, [key, "__chunk"], "inner"
+        cut.withColumn("__above", F.coalesce(F.sum("__n").over(inside), F.lit(0))), carried, [key, "__chunk"], null_safe=True
     )
     ranks = placed.select(key, score, (F.lit(1) + F.col("__above") + F.col("__carry")).cast("bigint").alias(name))
-    return df.join(ranks, [key, score])
+    return null_safe_join(df, ranks, [key, score])
+
+
+def running_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], counted: str, name: str, max_rows: int) -> DataFrame:
+    """Sum of ``counted`` over the rows before each row inside its key."""
+    cut = with_chunks(df, order, max_rows)
+    totals = cut.groupBy(*keys, "__chunk").agg(F.sum(counted).alias("__t"))
+    lower = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "__chunk", F.coalesce(F.sum("__t").over(lower), F.lit(0)).alias("__carry"))
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cut.withColumn("__r", F.coalesce(F.sum(counted).over(inside), F.lit(0)))
+    joined = join_dimension(ranked, carried, [*keys, "__chunk"], null_safe=True)
+    return joined.withColumn(name, F.col("__r") + F.col("__carry")).drop("__chunk", "__r", "__carry")
 
 
 def hash_order(seed: int, id_col: str) -> Column:

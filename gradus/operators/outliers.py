@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from gradus.bounds import collect_small, join_dimension, safe_ratio
 from gradus.functions import arrays
 from gradus.operators.features import fit_columns
-from gradus.operators.ordering import hash_order
 from gradus.operators.quantiles import exact_quantiles
 
 AUTO_CONTAMINATION = 0.05
@@ -57,12 +56,12 @@ def flag_highest(df: DataFrame, score: str, contamination: float | str = "auto")
 
 def hash_sample(df: DataFrame, id_col: str, size: int, seed: int) -> DataFrame:
     """``size`` rows in hash order. A hash threshold first cuts the candidates to a few times
-    ``size``, so the final ordering handles a bounded number of rows whatever the input."""
+    ``size``, so the final ordering handles few rows; the threshold and the order
+    use one hash, so the sample follows one rule at every size of the table."""
     n = df.count()
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30))
-    if n > 4 * size:
-        df = df.filter(h < int((1 << 30) * min(1.0, 4.0 * size / n)))
-    return df.withColumn("__h", hash_order(seed, id_col)).orderBy("__h", id_col).limit(size).drop("__h")
+    hashed = df.withColumn("__h", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 62)))
+    cut = int((1 << 62) * min(1.0, (4.0 * size + 64) / max(1, n)))
+    return hashed.filter(F.col("__h") < F.lit(cut)).orderBy("__h", id_col).limit(size).drop("__h")
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:

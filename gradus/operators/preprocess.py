@@ -26,7 +26,9 @@ from gradus.operators.features import (
 )
 from gradus.operators.projection import clean_features, columns_by_pattern
 
-SCALE_PATTERN = r"js_f1__job_state|date__|quants__|jobdesc_cluster__"
+# Prefixes of the steps whose columns are scaled.
+SCALED_STEPS = ("js_f1__job_state", "date__", "quants__", "jobdesc_cluster__")
+SCALE_PATTERN = "|".join(SCALED_STEPS)
 
 
 @dataclass(frozen=True)

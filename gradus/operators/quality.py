@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gradus.bounds import collect_small, join_dimension
 from gradus.functions import arrays
+from gradus.operators.blocks import row_slices
 
 MAX_CLUSTERS = 10_000
 
@@ -23,14 +24,15 @@ def centroids(df: DataFrame, vec: str, label: str) -> DataFrame:
 
 
 def with_centroid_distance(df: DataFrame, vec: str, label: str, name: str) -> DataFrame:
-    """Distance of each row to the centre of its own cluster."""
+    """Distance of each row to the centre of its own cluster; null for a row without one."""
     centers = centroids(df, vec, label).select(label, "center")
-    joined = join_dimension(df, centers, label, "inner", MAX_CLUSTERS)
+    joined = join_dimension(df, centers, label, "left", MAX_CLUSTERS)
     return joined.withColumn(name, arrays.l2_norm(F.zip_with(vec, "center", lambda x, c: x - c))).drop("center")
 
 
 def cluster_stats(df: DataFrame, vec: str, label: str):
     """Per cluster: n, centre, sum of squared distances to it, mean distance to it (clusters x p numbers)."""
+    df = df.filter(F.col(label).isNotNull())
     placed = with_centroid_distance(df, vec, label, "__d")
     rows = collect_small(
         placed.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.col("__d") * F.col("__d")).alias("ss"), F.avg("__d").alias("s")),
@@ -61,11 +63,13 @@ def davies_bouldin(df: DataFrame, vec: str, label: str) -> DataFrame:
     k = len(order)
     value = None
     if k > 1:
-        worst = []
-        for i in order:
-            gaps = [(j, float(np.sqrt(((centers[i] - centers[j]) ** 2).sum()))) for j in order if j != i]
-            worst.append(max(((by[i]["s"] + by[j]["s"]) / g for j, g in gaps if g > 0), default=0.0))
-        value = sum(worst) / k
+        where, spread = np.stack([centers[c] for c in order]), np.array([by[c]["s"] for c in order])
+        worst = np.zeros(k)
+        for rows in row_slices(k, k):
+            gap = np.sqrt(np.maximum(((where[rows, None, :] - where[None, :, :]) ** 2).sum(2), 0.0))
+            ratio = np.divide(spread[rows, None] + spread[None, :], gap, out=np.zeros_like(gap), where=gap > 0)
+            worst[rows] = ratio.max(1)
+        value = float(worst.sum() / k)
     return df.sparkSession.createDataFrame([(k, value)], "k int, davies_bouldin double")
 
 

@@ -21,7 +21,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.bounds import ONE_TASK_ROWS, collect_small
+from gradus.bounds import ONE_TASK_ROWS, collect_small, null_safe_join
+from gradus.operators.ordering import running_rank
+from gradus.session import checkpointed
 
 SKETCH_ACCURACY = 10_000
 DIRECT_VALUES = 50_000
@@ -220,24 +222,30 @@ def _read_out(df: DataFrame, targets: list[_Target]) -> dict[tuple[str, int], fl
 def group_quantiles(
     df: DataFrame, key: str, col: str, qs: Sequence[float], names: Sequence[str], max_distinct: int = ONE_TASK_ROWS
 ) -> DataFrame:
-    """Quantiles of ``col`` per value of ``key``.
+    """Quantiles of ``col`` per value of ``key``; null is a key like others.
 
     Rows are first collapsed to (key, value, count), so a hot key costs its
     distinct values only. Keys with more distinct values than one buffer should
-    hold are solved one by one with :func:`exact_quantiles`.
+    hold are solved together: running counts along the values, cut into chunks,
+    tell which value holds each wanted rank.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(key, F.col(col).cast("double").alias("__v")).count()
-    widest = counts.groupBy(key).agg(F.count("*").alias("d"))
-    heavy = [r[key] for r in collect_small(widest.filter(F.col("d") > max_distinct))]
-    light = counts.filter(~F.col(key).isin(heavy)) if heavy else counts
+    counts = df.filter(F.col(col).isNotNull()).groupBy(key, F.col(col).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    widest = counts.groupBy(key).agg(F.count("*").alias("__d"), F.sum("__n").alias("__all"))
+    heavy = checkpointed(widest.filter(F.col("__d") > max_distinct).drop("__d"))
+    some = not heavy.isEmpty()
+    light = null_safe_join(counts, heavy.select(key), key, "left_anti") if some else counts
     probs = F.array(*[F.lit(float(q)) for q in qs])
-    result = light.groupBy(key).agg(F.percentile("__v", probs, F.col("count")).alias("__q"))
+    result = light.groupBy(key).agg(F.percentile("__v", probs, F.col("__n")).alias("__q"))
     result = result.select(key, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-    for value in heavy:
-        found = exact_quantiles(df.filter(F.col(key) == value), [col], qs)[col]
-        one = df.sparkSession.range(1).select(
-            F.lit(value).cast(df.schema[key].dataType).alias(key),
-            *[F.lit(v).cast("double").alias(n) for v, n in zip(found, names)],
-        )
-        result = result.unionByName(one)
-    return result
+    if not some:
+        return result
+    own = null_safe_join(counts, heavy, key, "inner")
+    placed = running_rank(own, [key], ["__v", key], "__n", "__before", max_distinct)
+    at = lambda rank: F.max(F.when((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n")), F.col("__v")))
+    wanted = []
+    for q, n in zip(qs, names):
+        spot = F.lit(float(q)) * (F.col("__all") - 1)
+        low, high = F.floor(spot), F.ceil(spot)
+        share = F.max(spot - low)
+        wanted.append((at(low) + (at(high) - at(low)) * share).alias(n))
+    return result.unionByName(placed.groupBy(key).agg(*wanted))

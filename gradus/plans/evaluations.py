@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -210,13 +209,8 @@ def _(t):
 
 
 def scratch(t, name: str) -> str:
-    """A folder for files a query writes: below the checkpoint folder when one is set, else temporary."""
-    shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"gradus-{name}-") + "/out"
+    """A new path for files a query writes, in the folder that all executors share."""
+    return shared_path(t.spark, name)
 
 
 # --- runs -------------------------------------------------------------------

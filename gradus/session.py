@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,21 +24,31 @@ def local_session(app: str = "gradus", cores: int | str = "*", shuffle_partition
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a folder of its own; on a cluster the
-    setting is required because executors do not share a local disk.
+    Only a local session without that setting gets a folder of its own; on a
+    cluster the setting is required because executors do not share a local disk.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(shared)
-    elif not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
+        return shared.rstrip("/")
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gradus-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable checkpoint folder of the session."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
