@@ -195,9 +195,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     small_batches(docs.sparkSession)
 
     def run(batch):
-        if "words" not in state:
-            state["words"] = WordTokenizer(tokenizer)
-        ids, stops = state["words"].encode(batch.column(1), end_id)
+        ids, stops = WordTokenizer.shared(tokenizer).encode(batch.column(1), end_id)
         rows, piece, start, length, crc, low = [], [], [], [], [], 0
         for d, high in enumerate(stops.tolist()):
             for p, at in enumerate(range(low, high, capacity)):
@@ -210,7 +208,6 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
             low = high
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    state: dict = {}
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     cut = rows.mapInArrow(batches_of(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -128,7 +128,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches):
-        words = WordTokenizer(tokenizer)
+        words = WordTokenizer.shared(tokenizer)
         width = 2 if words.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         part, seq = TaskContext.get().partitionId(), 0
         keys, ends, held, size = [], [], [], 0

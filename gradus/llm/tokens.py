@@ -9,31 +9,64 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: pieces that a worker remembers; then it starts anew
-REMEMBERED = 200_000
+REMEMBERED = 600_000
+#: ASCII signs that are tokens of their own behind a letter or digit (an apostrophe may begin a contraction)
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokenizer:
-    """Encodes texts piece by piece between ASCII white space, and each distinct piece of a batch once.
+    """Encodes texts piece by piece between ASCII white space, and each distinct piece once while it is remembered.
 
-    Right for tokenizers that drop white space and never join ids across it,
-    such as BPE with word ends.
+    Right for tokenizers that ignore the case of ASCII letters, drop white
+    space, split signs from letters and digits, and never join ids across these
+    borders, such as BPE with word ends.
     """
 
+    _shared: dict[str, WordTokenizer] = {}
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    @classmethod
+    def shared(cls, path: str) -> WordTokenizer:
+        """One for all tasks of a Python worker."""
+        if path not in cls._shared:
+            cls._shared[path] = cls(path)
+        return cls._shared[path]
 
-    def _ids(self, pieces: list[str]) -> list[np.ndarray]:
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
         fresh = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known, fresh = {}, pieces
+        if len(self.known) + len(fresh) > REMEMBERED and self.known:
+            self._forget()
+            fresh = pieces
+        sizes, ids = [], []
         for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, np.uint32)
-        return [self.known[p] for p in pieces]
+            for found in self.tokenizer.encode_batch(fresh[at : at + 10_000], add_special_tokens=False):
+                own = found.ids
+                sizes.append(len(own))
+                ids += own
+        size = np.array(sizes, np.int64)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+
+    @staticmethod
+    def _parts(piece: str) -> tuple[str, str]:
+        """The piece without the signs at its end, and these, if a letter or digit is before them."""
+        if "<|" in piece:  # may be a special token
+            return piece, ""
+        if piece.isascii():
+            piece = piece.lower()
+        core = piece.rstrip(SIGNS)
+        return (core, piece[len(core) :]) if core and core[-1].isalnum() and core[-1].isascii() else (piece, "")
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, end of each text among them); every text is followed by ``end_id``, a null text has that alone."""
@@ -42,15 +75,16 @@ class WordTokenizer:
         counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
         coded = pieces.flatten().dictionary_encode()
         place = coded.indices.to_numpy()
-        each = self._ids(coded.dictionary.to_pylist()) or [np.zeros(0, np.uint32)]
-        sizes = np.array([len(x) for x in each], np.int64)
-        first, flat = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.concatenate(each)
-        lengths = sizes[place] if len(place) else np.zeros(0, np.int64)
+        parts = [self._parts(p) for p in coded.dictionary.to_pylist()]
+        self._learn(list({x for two in parts for x in two}))
+        core, sign = (np.fromiter((self.known[two[i]] for two in parts), np.int64, len(parts)) for i in (0, 1))
+        # every piece is its core and its signs
+        both = np.stack([core[place], sign[place]], 1).ravel()
+        lengths = self.size[both]
         begins = np.cumsum(lengths) - lengths
-        ids = flat[np.repeat(first[place] - begins, lengths) + np.arange(lengths.sum())] if len(place) else flat[:0]
-        last = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]  # without end ids
-        out = np.insert(ids, last, np.uint32(end_id)) if n else ids
-        return out, last + np.arange(1, n + 1)
+        ids = self.flat[np.repeat(self.first[both] - begins, lengths) + np.arange(lengths.sum())]
+        last = np.concatenate([[0], np.cumsum(lengths)])[2 * np.cumsum(counts)] if n else np.zeros(0, np.int64)
+        return np.insert(ids, last, np.uint32(end_id)), last + np.arange(1, n + 1)
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
