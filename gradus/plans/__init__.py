@@ -7,7 +7,7 @@ import importlib
 from gradus.plans.registry import QUERIES, SQL
 
 MODULES = (
-    "tables", "columns", "lookups", "statistics", "rankings", "features", "selections", "evaluations", "clusters", "learning",
+    "tables", "columns", "lookups", "statistics", "rankings", "features", "selections", "evaluations", "clusters", "learning", "checks",
 )
 
 

@@ -182,7 +182,7 @@ def _(t):
 
 @query("elbow_scan")
 def _(t):
-    return clustering.elbow_scan(t.blocks, "vec", range(2, 7))
+    return clustering.elbow_scan(t.blocks, "vec", range(2, 11))
 
 
 @query("pca_project")
@@ -192,7 +192,7 @@ def _(t):
 
 @query("kmeans_on_pca")
 def _(t):
-    return clustering.kmeans_on_pca(t.blocks, "vec", 3, 10).select("id", "cluster", "center_distance")
+    return clustering.kmeans_on_pca(t.blocks, "vec", 3, 50).select("id", "cluster", "center_distance")
 
 
 @query("hierarchical_clusters")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradus.operators import evaluation, predictions, tracking
 from gradus.plans.registry import query
 from gradus.plans.statistics import rounded
+from gradus.session import shared_path
 
 _SCORED = f"""scored AS (SELECT c.id, c.y, CASE by_price WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END AS pred
   FROM coded c JOIN predictors p ON c.id = p.id)"""

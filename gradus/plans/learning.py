@@ -245,7 +245,12 @@ def _(t):
     return evaluation.param_search(folded, make, space, 3, 2, "y").drop("params", "mean_fit_time")
 
 
-@query("run_record")
+@query(
+    "run_record",
+    """SELECT 'search' AS run_name, CAST(1 AS INTEGER) AS run_index, max(score) AS best_score, CAST(least(count(*), 5) AS INTEGER) AS n_top,
+    CAST(count(*) AS INTEGER) AS n_iterations FROM history WHERE run_index IS NOT NULL""",
+    ("history",),
+)
 def _(t):
     from gradus.operators import tracking
 
