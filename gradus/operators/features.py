@@ -17,6 +17,7 @@ from gradus.functions import arrays, scalars
 from gradus.functions.schema import FeatureSchema
 from gradus.operators.aggregates import vector_moments
 from gradus.operators.projection import clean_features, columns_by_pattern
+from gradus.session import checkpointed
 
 MAX_CATEGORIES = 1_000
 
@@ -128,8 +129,10 @@ def fit_categories(df: DataFrame, col: str, min_count: int = 1, max_columns: int
     counts = df.groupBy(F.col(col).alias("value")).count()
     rows = collect_small(counts.filter(F.col("count") >= min_count).select("value"), max_columns)
     ordered = sorted((r["value"] for r in rows), key=lambda v: (v is None, v if v is not None else ""))
-    rare = counts.filter(F.col("count") < min_count).select("value") if min_count > 1 else None
-    return Categories(col, tuple(ordered), None if rare is None or rare.isEmpty() else rare)
+    if min_count <= 1:
+        return Categories(col, tuple(ordered))
+    rare = checkpointed(counts.filter(F.col("count") < min_count).select("value"))  # read again by every apply
+    return Categories(col, tuple(ordered), None if rare.isEmpty() else rare)
 
 
 def apply_one_hot(df: DataFrame, cats: Categories, drop: bool = True) -> DataFrame:

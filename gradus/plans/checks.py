@@ -96,3 +96,25 @@ def _(t):
     fold = "fold" if "fold" in scores.columns else scores.columns[0]
     number = [f.name for f in scores.schema.fields if f.dataType.typeName() == "double"]
     return scores.filter(F.col(fold).isNotNull()).agg(F.countDistinct(fold).alias("folds"), F.bool_and(F.greatest(*number, F.lit(0.0)) <= 1).alias("in_range"))
+
+
+@query("saved_chain_check", "SELECT count(*) AS n, count(*) AS equal FROM blocks", ("blocks",))
+def _(t):
+    """The whole fitted chain, saved and loaded, scores like the fitted one."""
+    from gradus.operators import lookups
+    from gradus.plans.evaluations import scratch
+    from gradus.plans.learning import _small_chain
+    from gradus.plans.standins import VECTOR_SCHEMA
+    from gradus.plans.training import FittedChain, fit_chain, training_rows
+
+    dim = lookups.state_salary(t.spark)
+    opts = _small_chain(outliers=False)
+    kept, _, _ = training_rows(t.candidates, VECTOR_SCHEMA, dim, opts)
+    chain = fit_chain(kept, VECTOR_SCHEMA, dim, "y", opts)
+    path = scratch(t, "chain")
+    chain.save(t.spark, path)
+    rows = t.candidates.drop("salary_category")
+    before = chain.score(rows, dim, ["id"]).select("id", F.col("prediction").alias("a"), F.col("probability").alias("pa"))
+    after = FittedChain.load(t.spark, path).score(rows, dim, ["id"]).select("id", F.col("prediction").alias("b"), F.col("probability").alias("pb"))
+    near = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) < 1e-9
+    return before.join(after, "id").agg(F.count("*").alias("n"), F.count_if((F.col("a") == F.col("b")) & near).alias("equal"))

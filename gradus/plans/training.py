@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
+import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions.scalars import ordinal_decode, ordinal_encode
 from gradus.functions.schema import FeatureSchema
 from gradus.operators import evaluation, outliers, predictions, preprocess, selection
+from gradus.operators.clustering import ClusterFeatures
+from gradus.operators.features import BlockStats, Categories, ColumnStats, DateStats
 from gradus.operators.ordinal import BinaryEnsemble, boosted_ordinal
 from gradus.session import checkpointed
 
@@ -31,6 +35,32 @@ class FittedChain:
         x = preprocess.as_vector(wide, [self.params.columns[i] for i in self.positions], keep)
         return self.model.transform(x.withColumn("features", array_to_vector("x"))).drop("features", "x")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes schema, parameters, positions, the table of rare categories and the model below ``path``."""
+        p, rare = self.params, self.params.titles.rare
+        plain = asdict(replace(p, titles=replace(p.titles, rare=None)))
+        plain["dates"] |= {"first": p.dates.first.isoformat(), "months": [[m, *v] for m, v in p.dates.months.items()]}
+        meta = {"schema": asdict(self.schema), "params": plain, "positions": list(self.positions), "rare": rare is not None}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/chain")
+        if rare is not None:
+            rare.write.mode("overwrite").parquet(f"{path}/rare")
+        self.model.save(spark, f"{path}/model")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FittedChain:
+        """What :meth:`save` wrote; scores like the fitted chain, in any later session."""
+        meta = json.loads(spark.read.text(f"{path}/chain").first()[0])
+        schema = FeatureSchema(**{k: tuple(v) if isinstance(v, list) else v for k, v in meta["schema"].items()})
+        p = meta["params"]
+        d, t, c = p["dates"], p["titles"], p["clusters"]
+        params = preprocess.ClusteredParams(
+            DateStats(datetime.date.fromisoformat(d["first"]), {m: (mean, std) for m, mean, std in d["months"]}, d["mean"], d["std"]),
+            Categories(t["col"], tuple(t["frequent"]), spark.read.parquet(f"{path}/rare") if meta["rare"] else None),
+            ClusterFeatures(BlockStats(*[tuple(c["block"][k]) for k in ("mean", "scaled_mean", "scale")]), tuple(map(tuple, c["centers"])), tuple(c["defaults"]), c["rule"]),
+            p["soft"], ColumnStats(**{k: tuple(v) if k == "empty" else v for k, v in p["fills"].items()}), tuple(p["scaled"]), tuple(p["columns"]),
+        )
+        return FittedChain(schema, params, tuple(meta["positions"]), BinaryEnsemble.load(spark, f"{path}/model"))
+
 
 @dataclass(frozen=True)
 class ChainOptions:
