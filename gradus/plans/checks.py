@@ -3,6 +3,8 @@ the rows that keep an invariant; its SQL counts the rows of the input."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,34 +21,48 @@ def result(t, name: str) -> DataFrame:
     return QUERIES[name](t.spark, t.dir)
 
 
-def counted(name: str, rows: str, uses: tuple[str, ...], **good: Column):
-    """Registers ``name_check``: rows, distinct ids where there are, and rows for which each condition holds."""
+def counted(name: str, rows: str, **good: Callable[[], Column]):
+    """Registers ``name_check``: the rows, and those for which each condition holds (made when the query runs)."""
     extra = "".join(f", count(*) AS {k}" for k in good)
-    sql = f"SELECT count(*) AS n{extra} FROM {rows}"
 
-    @query(f"{name}_check", sql, uses)
+    @query(f"{name}_check", f"SELECT count(*) AS n{extra} FROM {rows}", ("coded",) if rows.startswith("coded") else ("blocks",))
     def _(t):
-        return result(t, name).agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in good.items()])
+        held = [F.count_if(F.coalesce(c(), F.lit(False))).alias(k) for k, c in good.items()]
+        return result(t, name).agg(F.count("*").alias("n"), *held)
+
+
+def _shares() -> list[Column]:
+    return [F.col(f"p{i}") for i in range(CLASSES)]
+
+
+def _sums() -> Column:
+    p = _shares()
+    return (F.abs(p[0] + p[1] + p[2] - 1) < 1e-6) & (F.least(*p) >= -1e-9)
+
+
+def _top() -> Column:
+    return F.col("prediction") == arrays.argmax_class(F.array(*_shares()))
+
 
+def _in_classes(col: str) -> Callable[[], Column]:
+    return lambda: F.col(col).isin(0, 1, 2)
 
-P = [F.col(f"p{i}") for i in range(CLASSES)]
-SUMS = F.abs(P[0] + P[1] + P[2] - 1) < 1e-6
-IN_RANGE = F.least(*P) >= -1e-9
-TOP = F.col("prediction") == arrays.argmax_class(F.array(*P))
-FLAGGED = F.col("is_outlier").isNotNull()
 
 for _name in ("ordinal_classifier", "boosted_ordinal", "boosted_multiclass", "random_forest", "logistic_regression", "mlp_classifier", "save_model", "load_model"):
-    counted(_name, "blocks", ("blocks",), sums=SUMS, in_range=IN_RANGE, top=TOP)
-counted("proportional_odds", "coded, (VALUES (1), (2)) AS links(k)", ("coded",), sums=SUMS, in_range=IN_RANGE, top=TOP)
-counted("ordinal_immediate_threshold", "blocks", ("blocks",), known=F.col("prediction").isin(0, 1, 2))
-counted("mlp_ordinal", "blocks", ("blocks",), known=F.col("prediction").isin(0, 1, 2), cum=F.col("cum_0").between(0, 1) & F.col("cum_1").between(0, 1))
-counted("svm", "blocks, (VALUES (1), (2), (3)) AS kernels(k)", ("blocks",), known=F.col("prediction").isin(0, 1, 2))
-counted("predict", "blocks", ("blocks",))
+    counted(_name, "blocks", sums=_sums, top=_top)
+counted("proportional_odds", "coded, (VALUES (1), (2)) AS links(k)", sums=_sums, top=_top)
+counted("ordinal_immediate_threshold", "blocks", known=_in_classes("prediction"))
+counted("mlp_ordinal", "blocks", known=_in_classes("prediction"), cum=lambda: F.col("cum_0").between(0, 1) & F.col("cum_1").between(0, 1))
+counted("svm", "blocks, (VALUES (1), (2), (3)) AS kernels(k)", known=_in_classes("prediction"))
+counted("predict", "blocks")
 for _name in ("outlier_isolation_forest", "outlier_elliptic", "outlier_vote", "outlier_supervised"):
-    counted(_name, "blocks", ("blocks",), flagged=FLAGGED)
-counted("cross_val_predict", "blocks", ("blocks",), fold_known=F.col("fold").isin(0, 1, 2), known=F.col("prediction").isin(0, 1, 2), sure=F.col("confidence").between(1 / CLASSES - 1e-9, 1 + 1e-9))
+    counted(_name, "blocks", flagged=lambda: F.col("is_outlier").isNotNull())
+counted(
+    "cross_val_predict", "blocks", fold_known=_in_classes("fold"), known=_in_classes("prediction"),
+    sure=lambda: F.col("confidence").between(1 / CLASSES - 1e-9, 1 + 1e-9),
+)
 for _name in ("kmeans", "kmeans_on_pca", "hierarchical_clusters", "gaussian_mixture", "spectral_clusters", "minibatch_kmeans"):
-    counted(_name, "blocks", ("blocks",), known=F.col("cluster").isin(0, 1, 2))
+    counted(_name, "blocks", known=_in_classes("cluster"))
 
 
 @query("kmeans_fit_check", "SELECT count(*) AS n, count(*) AS nearest, true AS inertia_is_the_sum, true AS centres_are_means FROM blocks", ("blocks",))
