@@ -25,7 +25,7 @@ from gradus.llm.common import small_batches, stored
 from gradus.llm.tokens import words_of
 
 FOLDS, HELD_OUT = 7, 2
-#: most frequent tokens whose counts are broadcast; the counts of all others come by a join
+#: most frequent tokens (as many as this at most) whose counts are broadcast; the counts of all others come by a join
 HEAD = 50_000
 #: classes: the end, then frequent words, then endings
 CLASSES, ENDINGS = 256, 96
@@ -93,7 +93,15 @@ def token_counts(train: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     """The head, and the sums of all ending classes over the whole of ``counts``."""
-    top = {r["token"]: r["n"] for r in counts.orderBy(F.desc("n"), "token").limit(head).collect()}
+    step = F.floor(8 * F.log2("n"))  # counts in steps of a ninth, some hundred at most
+    least, held = None, 0
+    for r in sorted(collect_small(counts.groupBy(step.alias("step")).count()), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > head:
+            break
+        least = r["step"]
+    wanted = counts.filter(step >= least) if least is not None else counts.limit(0)  # at most ``head`` rows reach the driver
+    top = {r["token"]: r["n"] for r in sorted(collect_small(wanted, head), key=lambda r: (-r["n"], r["token"]))}
     own = {END: 0}
     for word in top:
         if word != END and len(own) < CLASSES - ENDINGS:
