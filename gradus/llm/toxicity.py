@@ -163,6 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns from at most ``sample_docs`` labelled documents of each class that aren't held out."""
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col)).cast("int").alias("toxic"))
     marked = marked.withColumn("h", F.xxhash64(F.lit(29), "doc_id"))
+    labelled = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     picked = [marked.filter(F.col("toxic") == y).orderBy("h", "doc_id").limit(sample_docs) for y in (0, 1)]
     sample = checkpointed(picked[0].unionByName(picked[1]))  # at most 2 * sample_docs ids
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("toxic", "text", (F.pmod("h", F.lit(3)) == 0).alias("calibrates"))
@@ -183,7 +184,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     samples = [keyed(" ".join(r["w"]))[0] for r in plain.select("w").collect()]  # at most sample_docs short windows
     model = Model(_background(samples) + shared + b" ", toxic, np.zeros(0))
     x, y = _calibration(rows.filter("calibrates"), model)
-    return Model(model.background, toxic, _logistic(x, y))
+    weights = _logistic(x, y)
+    if 0 < y.sum() < len(y):  # the sample holds other shares of the classes than the labels do
+        weights[0] += np.log(labelled[1] / labelled[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    return Model(model.background, toxic, weights)
 
 
 def _background(samples: list[bytes]) -> bytes:
