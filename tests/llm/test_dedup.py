@@ -5,11 +5,12 @@ import random
 from collections import Counter
 
 import brute
+import corpus_pipeline
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gradus.llm import exact, queries, simhash
+from gradus.llm import exact, minhash, queries, simhash
 from gradus.llm.common import join_groups, without
 from gradus.llm.components import connected_components
 
@@ -112,3 +113,23 @@ def test_without_drops_by_null_safe_keys(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (2, "a")], "i int, t string")
     gone = spark.createDataFrame([(1, "b"), (None, "a")], "i int, t string")
     assert sorted(map(tuple, without(rows, gone, [rows["i"], rows["t"]]).collect())) == [(1, "a"), (2, "a")]
+
+
+def test_pairs_of_similarity_point_eight_are_found(spark, odd, odd_rows, nothing):
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):  # 400 words; a changed word changes five shingles, so eight give a similarity of about 0.82
+        base = [f"w{rng.getrandbits(40)}" for _ in range(400)]
+        far = base[:]
+        for at in range(20, 400, 50 if i < 100 else 20):
+            far[at] = f"x{i}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(far))]
+    crowd = [f"c{rng.getrandbits(40)}" for _ in range(300)]
+    rows += [(1000 + i, " ".join(crowd[:i] + ["new"] + crowd[i + 1 :])) for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept >= {2 * i for i in range(120)} and sum(2 * i + 1 not in kept for i in range(100)) >= 97
+    assert kept >= {2 * i + 1 for i in range(100, 120)}  # about 0.6
+    assert {i for i in kept if i >= 1000} == {1100}
+    assert Counter(r["doc_id"] for r in minhash.near_duplicates(odd).collect()) == Counter(r[0] for r in odd_rows)
+    assert minhash.near_duplicates(nothing).count() == 0
