@@ -4,8 +4,9 @@ Any run of 16 or more characters of the usual encodings is a candidate. Its
 encoding is the smallest known alphabet that holds all its characters. Three
 tests ask whether it looks drawn at random from that alphabet: chi-squared
 uniformity, runs of character classes and serial correlation. Their sum is
-compared with that of ordinary text: every document adds one string of letters
-for each length class to the null distribution. The p-values that this gives
+compared with that of ordinary text: the letters outside of base spans and
+candidates, cut into strings of each length class from end to end, are the
+null distribution, which so grows with the text. The p-values that this gives
 are put through the Benjamini-Hochberg rule inside each length class, over all
 documents; so short candidates, which tell little, need a better score.
 """
@@ -13,7 +14,6 @@ documents; so short candidates, which tell little, need a better score.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -98,44 +98,55 @@ def _class(n: int) -> int:
 _LETTERS = bytes(range(256)), bytes(i for i in range(256) if not (65 <= i <= 90 or 97 <= i <= 122))
 
 
+def binned(codes: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """Score bins of equally long strings, a part at a time."""
+    return np.concatenate([_bin(randomness(codes[at : at + rows].astype(np.int64))) for at in range(0, len(codes), rows)])
+
+
 def scan_text(text: str) -> tuple[list, list, list]:
-    """Base spans, candidates outside of them as (start, end, class, codes), and the null strings by class."""
+    """Base spans, candidates outside of them as (start, end, class, codes), and the null strings by class (rows of codes)."""
     base = base_spans(text)
-    found = []
+    found, cut, plain = [], [(a, b) for a, _, b in base], []
     for m in CANDIDATE.finditer(text):
+        cut.append(m.span())
         if not any(a < m.end() and m.start() < b for a, _, b in base):
             found.append((m.start(), m.end(), _class(m.end() - m.start()), np.frombuffer(m[0].encode(), np.uint8)))
-    letters = text.encode("utf-8", "replace").translate(*_LETTERS)
-    null = []
-    for c, n in enumerate(LENGTHS):
-        if len(letters) >= n:
-            at = zlib.crc32(letters, c) % (len(letters) - n + 1)  # anywhere in the text
-            null.append((c, np.frombuffer(letters[at : at + n], np.uint8)))
+    at = 0
+    for a, b in sorted(cut):
+        plain.append(text[at:a])
+        at = max(at, b)
+    letters = np.frombuffer("".join([*plain, text[at:]]).encode("utf-8", "replace").translate(*_LETTERS), np.uint8)
+    null = [(c, letters[: len(letters) // n * n].reshape(-1, n)) for c, n in enumerate(LENGTHS)]
     return base, found, null
 
 
-SCAN = "doc_id {}, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,class:int,bin:int>>, null_bins array<struct<class:int,bin:int>>"
+SCAN = "doc_id {}, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,class:int,bin:int>>, null_bins array<struct<class:int,bin:int,n:long>>"
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: base spans, scored candidates and scored null strings."""
+    """Per document: base spans and scored candidates; the first of a batch has the counts of its scored null strings."""
     small_batches(docs.sparkSession)
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     one = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("class", pa.int32()), ("bin", pa.int32())])
-    two = pa.struct([("class", pa.int32()), ("bin", pa.int32())])
+    two = pa.struct([("class", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         read = [scan_text(t) for t in batch.column(1).to_pylist()]
-        strings = [c[3] for _, found, _ in read for c in found] + [s for _, _, null in read for _, s in null]
+        strings = [c[3] for _, found, _ in read for c in found]
         bins = np.zeros(len(strings), np.int32)
         lengths = np.array([len(s) for s in strings])
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
-            bins[at] = _bin(randomness(np.stack([strings[i] for i in at]).astype(np.int64)))
+            bins[at] = binned(np.stack([strings[i] for i in at]))
         scored = iter(bins.tolist())
         base = [[{"start": a, "kind": k, "end": b} for a, k, b in spans] for spans, _, _ in read]
         found = [[{"start": a, "end": b, "class": c, "bin": next(scored)} for a, b, c, _ in each] for _, each, _ in read]
-        null = [[{"class": c, "bin": next(scored)} for c, _ in each] for _, _, each in read]
+        null = [[] for _ in read]
+        for c in range(len(LENGTHS)):
+            windows = [each[c][1] for _, _, each in read if len(each[c][1])]
+            if windows:
+                bins, n = np.unique(binned(np.concatenate(windows)), return_counts=True)
+                null[0] += [{"class": c, "bin": b, "n": k} for b, k in zip(bins.tolist(), n.tolist())]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(one)), pa.array(null, pa.list_(two))], names=["doc_id", "base", "found", "null_bins"])
 
     rows = id_and_text(docs, id_col, text_col)
@@ -165,10 +176,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read = stored(scanned(docs, id_col, text_col), "secret-scan")
     n = -LOW * BINS + 1
     table = np.zeros((2, len(LENGTHS), n), np.int64)
-    counted = read.select(F.explode("found").alias("x")).select(F.lit(1).alias("of"), "x.class", "x.bin").unionByName(
-        read.select(F.explode("null_bins").alias("x")).select(F.lit(0).alias("of"), "x.class", "x.bin"))
-    for r in counted.groupBy("of", "class", "bin").count().collect():  # at most 2 * classes * bins rows
-        table[r["of"], r["class"], r["bin"]] = r["count"]
+    counted = read.select(F.explode("found").alias("x")).select(F.lit(1).alias("of"), "x.class", "x.bin", F.lit(1).cast("long").alias("n")).unionByName(
+        read.select(F.explode("null_bins").alias("x")).select(F.lit(0).alias("of"), "x.class", "x.bin", "x.n"))
+    for r in counted.groupBy("of", "class", "bin").agg(F.sum("n").alias("n")).collect():  # at most 2 * classes * bins rows
+        table[r["of"], r["class"], r["bin"]] = r["n"]
     least = F.array(*[F.lit(t) for t in thresholds(table[0], table[1], rate)])
     random = F.transform(F.filter("found", lambda x: x["bin"] >= F.get(least, x["class"])), lambda x: F.struct(x["start"], F.lit(KINDS.index("random")).alias("kind"), x["end"]))
     names = F.array(*[F.lit(k) for k in KINDS])

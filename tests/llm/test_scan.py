@@ -45,6 +45,18 @@ def test_secrets_of_planted_texts(spark):
     assert not any("random" in got[i]["spans"] for i in range(40, 43))
 
 
+@pytest.mark.parametrize("keys", [40, 2])
+def test_keys_are_found_at_the_production_rate(spark, keys):
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    token = ["".join(rng.choice(alphabet) for _ in range(44)) for _ in range(keys)]
+    texts = [f"{words(rng, 4000)} {token[i] if i < keys else 'see/the/morning/paper/and/the/daily/news'} {words(rng, 2000)}" for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(rows).collect()}
+    assert sum(f"random:{texts[i].index(t)}:" in got[i] for i, t in enumerate(token)) >= 0.9 * keys
+    assert not any("random" in got[i] for i in range(keys, 60))
+
+
 def test_randomness_separates(rng=np.random.default_rng(2)):
     hexes = np.frombuffer(b"0123456789abcdef", np.uint8)[rng.integers(0, 16, (300, 40))].astype(np.int64)
     text = np.frombuffer(b"theanswerofeveryhonestpersonwhoreadsthemorningpaperandthenewsoftheday", np.uint8).astype(np.int64)
