@@ -86,8 +86,12 @@ def latest_run(runs: DataFrame, path: str, end_time: str) -> DataFrame:
 def topk_long_abs(wide: DataFrame, key: str, n: int) -> DataFrame:
     """Wide coefficient table to (feature, class, coefficient), largest absolute values first."""
     classes = [c for c in wide.columns if c != key]
-    long = wide.unpivot([key], classes, "class", "coefficient").withColumn("abs_coef", F.abs("coefficient"))
-    return long.orderBy(F.desc("abs_coef"), key, "class").limit(n)
+    return topk_abs(wide.unpivot([key], classes, "class", "coefficient"), key, n)
+
+
+def topk_abs(long: DataFrame, key: str, n: int) -> DataFrame:
+    """Of (feature, class, coefficient), the rows with the largest absolute values first."""
+    return long.withColumn("abs_coef", F.abs("coefficient")).orderBy(F.desc("abs_coef"), key, "class").limit(n)
 
 
 def top_corr_pairs(df: DataFrame, cols: Sequence[str], n: int, mirrored: bool = False) -> DataFrame:

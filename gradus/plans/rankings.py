@@ -123,10 +123,8 @@ def _(t):
     SELECT c_nationkey, c_mktsegment AS class, round(v, 6) AS coefficient, round(abs(v), 6) AS abs_coef FROM w ORDER BY abs(v) DESC, 1, 2 LIMIT 10""",
 )
 def _(t):
-    seg = F.col("c_mktsegment")
-    segments = sorted(r[0] for r in t.customer.select(seg).distinct().limit(1_000).collect())
-    wide = t.customer.groupBy("c_nationkey").agg(*[(F.avg(F.when(seg == s, F.col("c_acctbal"))) - 4500).alias(s) for s in segments])
-    return rounded(ranking.topk_long_abs(wide, "c_nationkey", 10), "coefficient", "abs_coef")
+    long = t.customer.groupBy("c_nationkey", F.col("c_mktsegment").alias("class")).agg((F.avg("c_acctbal") - 4500).alias("coefficient"))
+    return rounded(ranking.topk_abs(long, "c_nationkey", 10), "coefficient", "abs_coef")
 
 
 _PAIRS_SQL = " UNION ALL ".join(

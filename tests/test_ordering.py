@@ -91,3 +91,12 @@ def test_draws_are_reproducible():
     assert draws == [evaluation.draw_params(space, i) for i in range(200)]
     assert {d["a"] for d in draws} == {1, 2, 3} and {d["d"] for d in draws} == {"x", "y"}
     assert all(0 <= d["b"] < 1 and 1e-3 <= d["c"] < 1 for d in draws)
+
+
+def test_largest_coefficients_of_many_segments(spark, tmp_path):
+    from gradus.plans import queries
+
+    rows = spark.range(1300).selectExpr("cast(id % 25 as int) c_nationkey", "concat('s', id) c_mktsegment", "cast(4500 + id as double) c_acctbal")
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries()["topk_long_abs"](spark, str(tmp_path)).collect()
+    assert [r["class"] for r in got] == [f"s{i}" for i in range(1299, 1289, -1)]
