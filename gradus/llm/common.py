@@ -89,3 +89,10 @@ def without(docs: DataFrame, dropped: DataFrame, keys: list[Column]) -> DataFram
         one = key.eqNullSafe(F.col(f"__d{i}"))
         same = one if same is None else same & one
     return docs.join(F.broadcast(dropped) if few else dropped, same, "left_anti")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII string: eight shifts per character."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, e: {step}), 4294967295)"

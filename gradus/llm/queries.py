@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import exact, language_model, licenses, mixing, packing, secret_scan, simhash, token_files, toxicity, vectors
+from gradus.llm import exact, language_model, licenses, manifest, mixing, packing, secret_scan, simhash, token_counts, token_files, toxicity, trie, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,3 +76,18 @@ def _packing(spark, table):
 @query("op2_language_model_scores")
 def _scores(spark, table):
     return language_model.score_documents(table("documents"))
+
+
+@query("op11_merkle_manifest", manifest.manifest_sql())
+def _manifest(spark, table):
+    return manifest.documents_manifest(table("documents"))
+
+
+@query("op12_conversation_trie", trie.TRIE_SQL)
+def _trie(spark, table):
+    return trie.conversation_trie(table("conversations"))
+
+
+@query("op13_token_counts")
+def _token_counts(spark, table):
+    return token_counts.count_tokens(table("documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
