@@ -31,7 +31,7 @@ def parse_year_month(col: Column) -> Column:
 
 
 def parse_date_lenient(col: Column, formats: Sequence[str] = ("yyyy/MM/dd", "yyyy-MM-dd", "yyyy/MM", "yyyy-MM")) -> Column:
-    """First format that reads the text; null when none does."""
+    """First format that reads the text; null when none does. ``dates.fit_date_layouts`` finds the layouts of a column by itself."""
     return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats]).cast("date")
 
 

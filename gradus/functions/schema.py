@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 class FeatureSchema:
     """Which columns play which role; the defaults are the full 315 feature columns."""
 
+    # The columns of the postings files.
     date: tuple[str, ...] = ("job_posted_date",)
     categorical: tuple[str, ...] = ("job_title", "feature_1", "job_state")
     boolean: tuple[str, ...] = tuple(f"feature_{i}" for i in (3, 4, 5, 6, 7, 8, 9, 11, 12))

@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.bounds import collect_small
+from gradus.bounds import collect_small, join_dimension
+from gradus.session import checkpointed
 
 MAX_CELLS = 1024
 BLOCK_ROWS = 4096
@@ -28,7 +29,10 @@ CHUNK_ROWS = 1024
 
 
 def matrix(values: pd.Series) -> np.ndarray:
-    return np.stack(values.to_numpy()).astype(float)
+    """A column of equally long arrays as one matrix."""
+    if not len(values):
+        return np.zeros((0, 0))
+    return np.concatenate(values.to_numpy(), dtype=float).reshape(len(values), -1)
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,19 +156,16 @@ def blocked_join(
     Both sides carry ``cell``. A query meets all data blocks of its cell, or
     with ``one_block`` a single one (enough for an upper bound).
     """
-    spark = queries.sparkSession
-    d_sizes = {r["cell"]: r["count"] for r in collect_small(data.groupBy("cell").count(), MAX_CELLS)}
-    q_sizes = {r["cell"]: r["count"] for r in collect_small(queries.groupBy("cell").count(), MAX_CELLS)}
-    plan = [
-        (c, -(-n // block_rows), max(1, -(-q_sizes.get(c, 0) // (chunk_rows * (-(-n // block_rows) if one_block else 1)))))
-        for c, n in d_sizes.items()
-    ]
-    sizes = F.broadcast(spark.createDataFrame(plan, "cell int, nb int, nc int"))
+    blocks_of = F.ceil(F.col("nd") / block_rows)
+    asked_by = F.coalesce(F.col("nq"), F.lit(0)) / (blocks_of * chunk_rows if one_block else F.lit(chunk_rows))
+    counts = data.groupBy("cell").agg(F.count("*").alias("nd")).join(queries.groupBy("cell").agg(F.count("*").alias("nq")), "cell", "left")
+    sizes = checkpointed(counts.select("cell", blocks_of.cast("int").alias("nb"), F.greatest(F.lit(1), F.ceil(asked_by)).cast("int").alias("nc")))
+    with_sizes = lambda df: join_dimension(df, sizes, "cell", "inner")
     every = F.sequence(F.lit(0), F.col("nb") - 1)
     own_block = F.pmod(F.xxhash64(F.lit(11), F.col(qid)), F.col("nb")).cast("int")
-    q = queries.join(sizes, "cell").withColumn("block", own_block if one_block else F.explode(every))
+    q = with_sizes(queries).withColumn("block", own_block if one_block else F.explode(every))
     q = q.withColumn("chunk", F.pmod(F.xxhash64(F.lit(13), F.col(qid)), F.col("nc")).cast("int")).drop("nb", "nc")
-    d = data.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64(F.lit(17), F.col(did)), F.col("nb")).cast("int"))
+    d = with_sizes(data).withColumn("block", F.pmod(F.xxhash64(F.lit(17), F.col(did)), F.col("nb")).cast("int"))
     d = d.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).drop("nb", "nc")
     d = d.select(*[F.col(c).alias(c) for c in d.columns])  # fresh column ids: both sides may share a parent
     keys = ["cell", "block", "chunk"]

@@ -175,7 +175,14 @@ def kmeans_on_pca(df: DataFrame, vec: str, k: int, components: int, seed: int =
 
 # --- other algorithms -------------------------------------------------------
 
-def hierarchical_clusters(df: DataFrame, vec: str, k: int, keep: Sequence[str], seed: int = 42) -> DataFrame:
+def hierarchical_clusters(df: DataFrame, vec: str, k: int, keep: Sequence[str], summaries: int | None = None) -> DataFrame:
+    """Agglomerative clustering by Ward's criterion to k clusters; exact up to ``summaries`` distinct rows, beyond that over as many summaries."""
+    from gradus.operators.ward import SUMMARIES, fit_ward
+
+    return fit_ward(df, vec, summaries or SUMMARIES).apply(df.select(*keep, vec), vec, k)
+
+
+def bisecting_clusters(df: DataFrame, vec: str, k: int, keep: Sequence[str], seed: int = 42) -> DataFrame:
     """Divisive (bisecting) clustering to k leaves."""
     from pyspark.ml.clustering import BisectingKMeans
 

@@ -135,14 +135,14 @@ def estimator_fit_predict(estimator: Estimator, keep: Sequence[str]) -> FitPredi
     return run
 
 
-def holdout_estimate_forest(df: DataFrame, id_col: str, features: str, label: str, k: int = 5, trees: int = 50, depth: int = 5, seed: int = 42) -> DataFrame:
-    """Out-of-fold accuracy of a forest, in place of an out-of-bag score."""
-    from pyspark.ml.classification import RandomForestClassifier
+def holdout_estimate_forest(df: DataFrame, id_col: str, vec: str, y: str, dim: int, trees: int = 50, depth: int = 5, seed: int = 42, **opts) -> DataFrame:
+    """(accuracy, n, left_out): out-of-bag accuracy of a bagged forest, the rows it is taken over, and the mean share of trees that left a row out."""
+    from gradus.operators.trees import fit_bagged_forest
 
-    forest = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    folded = stratified_kfold(df, id_col, label, k, seed)
-    scored = cross_val_predict(folded, estimator_fit_predict(forest, [id_col, label, "prediction"]), k)
-    return accuracy(scored, label, "prediction")
+    votes = fit_bagged_forest(df, id_col, vec, y, dim, trees, depth, seed=seed, **opts).left_out_votes()
+    return votes.agg(
+        F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.count("prediction").alias("n"), (F.avg("n_out") / trees).alias("left_out")
+    )
 
 
 # --- search -----------------------------------------------------------------
@@ -197,6 +197,49 @@ def param_search(
     return df.sparkSession.createDataFrame(done, RESULTS)
 
 
+HALVING = (
+    "rung int, share double, draw int, params map<string,string>, mean_test_score double, std_test_score double, survives boolean, is_best boolean"
+)
+
+
+def halving_search(
+    df: DataFrame, make_fit_predict: Callable[[dict], FitPredict], space: Mapping[str, tuple], n: int, k: int, y: str, id_col: str,
+    eta: int = 3, least_share: float | None = None, pred: str = "prediction", fold: str = "fold", seed: int = 42,
+) -> DataFrame:
+    """Successive halving over seeded draws: all are scored on a small share of the rows, the best 1 / ``eta`` go on to ``eta`` times as many.
+
+    Shares are drawn by the hash of the id, each contains the one before, and
+    the last is the whole table. ``least_share`` is the first one (by default
+    one over the draws that drop out). A row per draw and rung; ``is_best`` is
+    the best of the last rung. Equal scores keep the earlier draw.
+    """
+    rungs = 1
+    while eta**rungs <= n:
+        rungs += 1
+    if least_share is not None:
+        while rungs > 1 and eta ** -(rungs - 1) < least_share:
+            rungs -= 1
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30))
+    placed = df.withColumn("__place", place).persist()
+    alive, rows = [(d, draw_params(space, d, seed)) for d in range(n)], []
+    for rung in range(rungs):
+        share = float(eta) ** (rung - rungs + 1)
+        part = (placed if rung == rungs - 1 else placed.filter(F.col("__place") < int(share * (1 << 30)))).drop("__place").persist()
+        scored = []
+        for draw, params in alive:
+            got = cross_val_summary(cross_val_score(part, make_fit_predict(params), k, y, pred, fold)).first()
+            scored.append((-(got["mean"] or 0.0), draw, params, got["mean"], got["std"]))
+        part.unpersist()
+        scored.sort(key=lambda r: r[:2])
+        last = rung == rungs - 1
+        kept = scored[: max(1, len(scored) // eta)]
+        for i, (_, draw, params, mean, std) in enumerate(scored):
+            rows.append((rung, share, draw, {a: str(b) for a, b in params.items()}, mean, std, not last and i < len(kept), last and i == 0))
+        alive = [(draw, params) for _, draw, params, _, _ in kept]
+    placed.unpersist()
+    return df.sparkSession.createDataFrame(rows, HALVING)
+
+
 def experiment_grid(spark: SparkSession, configs: Sequence[Mapping], run: Callable[[Mapping], float]) -> DataFrame:
     """Run each configuration, keep its score, mark the best; a failing one is recorded with its error."""
     rows = []

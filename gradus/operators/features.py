@@ -318,9 +318,14 @@ def _grouped(df: DataFrame, schema: FeatureSchema, dim: DataFrame, dates: DateSt
     return staged.select(*keep, *cols)
 
 
+def measured_columns(schema: FeatureSchema) -> set[str]:
+    """The grouped columns that measure something and so are scaled: salaries of states, months, quantities and the block; indicators are not."""
+    return {"js_f1__job_state", "date__months_since_first", *(f"quants__{c}" for c in schema.quantitative), *(f"jobdesc__{c}" for c in schema.block)}
+
+
 def fit_flat(
     df: DataFrame, schema: FeatureSchema, dim: DataFrame, block_dim: int = 0, min_count: int = 10,
-    extra: DataFrame | None = None, scale_pattern: str = r"^js_f1__job_state$|^date__|^quants__|^jobdesc__",
+    extra: DataFrame | None = None,
 ) -> FlatParams:
     """Parameters of the flat pipeline from raw (uncleaned) rows."""
     cleaned = clean_features(df, schema) if extra is None else extra
@@ -333,7 +338,7 @@ def fit_flat(
     # the scaler sees imputed columns: same mean, variance shrunk by the share present
     shrunk = {c: raw.std_pop[c] * (raw.present[c] / raw.rows) ** 0.5 if raw.rows else 0.0 for c in numeric}
     fills = ColumnStats(raw.mean, shrunk, raw.std_samp, raw.low, raw.high, raw.empty)
-    scaled = tuple(columns_by_pattern(grouped, scale_pattern, "numeric"))
+    scaled = tuple(c for c in columns_by_pattern(grouped, None, "numeric") if c in measured_columns(schema))
     block = fit_block(grouped, "jobdesc", block_dim) if schema.packed else None
     return FlatParams(dates, titles, fills, scaled, block)
 

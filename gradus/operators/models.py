@@ -40,25 +40,11 @@ def logistic_regression(n: int, penalty: str = "l2", c: float = 1.0, max_iter: i
     )
 
 
-def logistic_regression_cv(df: DataFrame, label: str, features: str, fold: str, k: int, cs: Sequence[float], n: int) -> tuple[DataFrame, float]:
-    """(table of C with mean accuracy over the folds, best C)."""
-    from concurrent.futures import ThreadPoolExecutor
+def logistic_regression_cv(df: DataFrame, vec: str, y: str, fold: str, dim: int, cs: Sequence[float] | None = None, **opts):
+    """The :class:`~gradus.operators.logit_path.LogitPath` over ten penalties from 1e-4 to 1e4, or the given ones."""
+    from gradus.operators.logit_path import fit_logit_path
 
-    from gradus.operators.evaluation import cross_val_score, cross_val_summary, estimator_fit_predict
-
-    cached = df.select(features, label, fold).persist()
-    cached.count()
-
-    def one(c: float):
-        learner = logistic_regression(n * (k - 1) // k, "l2", c, 50).setFeaturesCol(features).setLabelCol(label)
-        scores = cross_val_score(cached, estimator_fit_predict(learner, [label, "prediction", fold]), k, label, fold=fold)
-        return float(c), cross_val_summary(scores).first()["mean"]
-
-    with ThreadPoolExecutor(2) as pool:
-        rows = list(pool.map(one, cs))
-    cached.unpersist()
-    best = max(rows, key=lambda r: (r[1], -r[0]))[0]
-    return df.sparkSession.createDataFrame(rows, "c double, mean_score double"), best
+    return fit_logit_path(df, vec, y, fold, dim, [10.0 ** (-4 + 8 * i / 9) for i in range(10)] if cs is None else cs, **opts)
 
 
 def coefficient_table(model, names: Sequence[str], classes: Sequence, spark) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from gradus.operators import blocks as B
 from gradus.operators.ordering import global_row_number
+from gradus.operators.pivot_tree import MAX_INNER, PivotTree
+from gradus.session import checkpointed
 
 
 def distinct_vectors(df: DataFrame, id_col: str, vec: str, keep: int) -> DataFrame:
@@ -26,27 +30,39 @@ def distinct_vectors(df: DataFrame, id_col: str, vec: str, keep: int) -> DataFra
 
 def knn_join(
     queries: DataFrame, data: DataFrame, id_col: str, vec: str, k: int, exclude_self: bool = True,
-    cells: int | None = None, block_rows: int = B.BLOCK_ROWS, chunk_rows: int = B.CHUNK_ROWS,
+    cells: int | None = None, inner: int | None = None, block_rows: int = B.BLOCK_ROWS, chunk_rows: int = B.CHUNK_ROWS,
 ) -> DataFrame:
     """(id, neighbor, dist, rank): the k nearest data rows per query row, by (Euclidean distance, id).
 
     With ``exclude_self`` a row is never its own neighbour (ids compared).
     """
+    need = k + 1 if exclude_self else k
+    q, asked, tree = _asked(queries, data, id_col, vec, need, cells, inner)
+    found = _found_exact(tree, asked, need, block_rows=block_rows, chunk_rows=chunk_rows)
+    return _nearest_rows(found, q, asked, k, need, exclude_self)
+
+
+def _asked(queries: DataFrame, data: DataFrame, id_col: str, vec: str, need: int, cells: int | None, inner: int | None) -> tuple[DataFrame, DataFrame, PivotTree]:
+    """The query rows, their distinct vectors and the tree of the distinct data vectors."""
     q = queries.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
     d = data.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
-    need = k + 1 if exclude_self else k
-    targets = distinct_vectors(d, "id", "vec", need).persist()
     asked = q.groupBy("vec").agg(F.min("id").alias("qrep")).persist()
-    n = targets.count()
-    pivots = B.pick_pivots(targets, "rep", "vec", cells or B.cell_count(n))
-    placed = B.place(targets, "vec", pivots)
-    placed = placed.persist() if len(pivots) > 1 else placed
-    summary = B.summarise_cells(placed, pivots)
+    return q, asked, PivotTree(distinct_vectors(d, "id", "vec", need), "rep", "vec", cells, inner)
 
+
+FOUND = "qrep bigint, dist double, ids array<bigint>, cell bigint"
+
+
+def _nearest_kernel(need: int):
     def top(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids = right["rep"].to_numpy()
-        r, c, e = B.nearest_in_block(B.matrix(left["vec"]), B.matrix(right["vec"]), ids, need)
-        return pd.DataFrame({"qrep": left["qrep"].to_numpy()[r], "dist": e, "ids": right["ids"].to_numpy()[c]})
+        r, c, e = B.nearest_in_block(B.matrix(left["vec"]), B.matrix(right["vec"]), right["rep"].to_numpy(), need)
+        return pd.DataFrame({"qrep": left["qrep"].to_numpy()[r], "dist": e, "ids": right["ids"].to_numpy()[c], "cell": right["cell"].to_numpy()[c]})
+
+    return top
+
+
+def _found_exact(tree: PivotTree, asked: DataFrame, need: int, **sizes) -> DataFrame:
+    """The nearest of every block that can hold one of the ``need`` nearest."""
 
     def bound(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(right) < need:
@@ -54,19 +70,25 @@ def knn_join(
         r, _, e = B.nearest_in_block(B.matrix(left["vec"]), B.matrix(right["vec"]), right["rep"].to_numpy(), need)
         return pd.DataFrame({"qrep": left["qrep"].to_numpy()[r], "theta": e}).groupby("qrep", as_index=False)["theta"].max()
 
-    base = placed.drop("cdist")
-    sizes = {"block_rows": block_rows, "chunk_rows": chunk_rows}
-    if len(pivots) > 1:
-        home = B.place(asked, "vec", pivots).drop("cdist")
-        theta = B.blocked_join(home, base, "qrep", "rep", bound, "qrep bigint, theta double", one_block=True, **sizes)
-        radius = asked.join(theta, "qrep", "left")
-        spread = B.candidate_cells(radius, "vec", F.col("theta"), summary, need).drop("theta").persist()
+    base = tree.placed.drop("cdist", "top")
+    if tree.one:
+        spread = asked.withColumn("cell", F.lit(0).cast("long"))
     else:
-        spread = asked.withColumn("cell", F.lit(0))
-    found = B.blocked_join(spread, base, "qrep", "rep", top, "qrep bigint, dist double, ids array<bigint>", **sizes)
-    members = found.select("qrep", "dist", F.explode("ids").alias("nid"))
+        theta = B.blocked_join(tree.home(asked, "qrep"), base, "qrep", "rep", bound, "qrep bigint, theta double", one_block=True, **sizes)
+        spread = checkpointed(tree.reach(asked.join(theta, "qrep", "left"), "qrep", F.col("theta"), need).drop("theta"))
+    return B.blocked_join(spread, base, "qrep", "rep", _nearest_kernel(need), FOUND, **sizes)
+
+
+def _best(found: DataFrame, need: int) -> DataFrame:
+    """(qrep, dist, nid, cell): the ``need`` nearest rows per query vector."""
     pick = Window.partitionBy("qrep").orderBy("dist", "nid")
-    ranked = members.withColumn("__k", F.row_number().over(pick)).filter(F.col("__k") <= need)
+    members = found.select("qrep", "dist", F.explode("ids").alias("nid"), "cell")
+    return members.withColumn("__k", F.row_number().over(pick)).filter(F.col("__k") <= need).drop("__k")
+
+
+def _nearest_rows(found: DataFrame, q: DataFrame, asked: DataFrame, k: int, need: int, exclude_self: bool) -> DataFrame:
+    """From the best of every block to the k nearest of every query row."""
+    ranked = _best(found, need)
     lists = ranked.groupBy("qrep").agg(F.array_sort(F.collect_list(F.struct("dist", "nid"))).alias("near"))
     per_vector = asked.join(lists, "qrep").select("vec", "near")
     rows = q.join(per_vector, "vec")
@@ -76,13 +98,73 @@ def knn_join(
     )
 
 
+@dataclass(frozen=True)
+class ApproximateNeighbors:
+    """``rows`` as from :func:`knn_join`; a query looked into its ``probes`` nearest cells below its ``tops`` nearest first-level ones.
+
+    ``recall`` is the share of true neighbours that lie there, measured on the sampled queries.
+    """
+
+    rows: DataFrame
+    recall: float
+    probes: int
+    tops: int
+
+
+def knn_join_approximate(
+    queries: DataFrame, data: DataFrame, id_col: str, vec: str, k: int, recall: float = 0.95, sample: int = 256, exclude_self: bool = True,
+    cells: int | None = None, inner: int | None = None, block_rows: int = B.BLOCK_ROWS, chunk_rows: int = B.CHUNK_ROWS,
+) -> ApproximateNeighbors:
+    """Nearest neighbours from the cells with the nearest pivots; distances are exact, a neighbour in another cell is missed.
+
+    ``sample`` queries, drawn by hash, are answered exactly first. The cells of
+    their true neighbours say how many cells must be looked into for
+    ``recall`` (two standard errors of the sample are added to it); the rest of
+    the work grows with queries x cells looked into x rows of a cell. A query
+    whose cells hold too few rows is answered exactly.
+    """
+    from gradus.operators.outliers import hash_sample
+
+    need = k + 1 if exclude_self else k
+    sizes = {"block_rows": block_rows, "chunk_rows": chunk_rows}
+    q, asked, tree = _asked(queries, data, id_col, vec, need, cells, inner)
+    if tree.one:
+        return ApproximateNeighbors(_nearest_rows(_found_exact(tree, asked, need, **sizes), q, asked, k, need, exclude_self), 1.0, 1, 1)
+    drawn = checkpointed(hash_sample(asked, "qrep", sample, 29))
+    truth = checkpointed(_best(_found_exact(tree, drawn, need, **sizes), need).select("qrep", "cell", F.floor(F.col("cell") / (MAX_INNER if tree.two else 1)).cast("int").alias("top")))
+    total = truth.count()
+    enough = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / max(total, 1)))
+
+    def smallest(places: DataFrame, share: float) -> tuple[int, float]:
+        """The least number of places that holds ``share`` of the true neighbours, and what it holds."""
+        seen, most = 0, 0
+        for row in places.groupBy("place").count().orderBy("place").collect():  # at most a place per cell of a query
+            seen, most = seen + row["count"], row["place"]
+            if seen >= share * total:
+                break
+        return most + 1, seen / total if total else 1.0
+
+    by_top = tree.ranked_tops(drawn, len(tree.pivots)).select("qrep", "top", "place")
+    tops, _ = smallest(truth.join(by_top, ["qrep", "top"]), enough + (1 - enough) / 2 if tree.two else enough)
+    by_cell = tree.ranked(drawn, "qrep", tops, MAX_INNER).select("qrep", "cell", "place")
+    probes, held = smallest(truth.join(by_cell, ["qrep", "cell"]), enough)
+    spread = checkpointed(tree.ranked(asked, "qrep", tops, probes).drop("place"))
+    base = tree.placed.drop("cdist", "top")
+    found = checkpointed(B.blocked_join(spread, base, "qrep", "rep", _nearest_kernel(need), FOUND, **sizes))
+    whole = found.groupBy("qrep").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") >= need)
+    short = checkpointed(asked.join(whole, "qrep", "left_anti"))
+    if not short.isEmpty():
+        found = found.join(short, "qrep", "left_anti").unionByName(_found_exact(tree, short, need, **sizes))
+    return ApproximateNeighbors(_nearest_rows(found, q, asked, k, need, exclude_self), held, probes, tops)
+
+
 def eps_join(
-    df: DataFrame, id_col: str, vec: str, eps: float, cells: int | None = None,
+    df: DataFrame, id_col: str, vec: str, eps: float, cells: int | None = None, inner: int | None = None,
     block_rows: int = B.BLOCK_ROWS, chunk_rows: int = B.CHUNK_ROWS,
 ) -> DataFrame:
     """(id_a, id_b, dist): pairs with id_a < id_b within ``eps``. The pairs are the result; clustering does not use this."""
     d = df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
-    placed, summary = _placed(d, cells)
+    tree = PivotTree(d, "id", "vec", cells, inner)
 
     def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         q, x = B.matrix(left["vec"]), B.matrix(right["vec"])
@@ -93,20 +175,13 @@ def eps_join(
             out.append(pd.DataFrame({"id_a": a[s][r], "id_b": b[c], "dist": B.exact_distance(q[s][r], x[c])}))
         return pd.concat(out)
 
-    spread = B.candidate_cells(placed.select("id", "vec"), "vec", F.lit(float(eps)), summary)
+    spread = tree.reach(tree.placed.select("id", "vec"), "id", F.lit(float(eps)))
     return B.blocked_join(
-        spread, placed.drop("cdist"), "id", "id", pairs, "id_a bigint, id_b bigint, dist double",
+        spread, tree.placed.drop("cdist", "top"), "id", "id", pairs, "id_a bigint, id_b bigint, dist double",
         block_rows=block_rows, chunk_rows=chunk_rows,
     )
 
 
-def _placed(d: DataFrame, cells: int | None):
-    n = d.count()
-    pivots = B.pick_pivots(d, "id", "vec", cells or B.cell_count(n))
-    placed = B.place(d, "vec", pivots).persist()
-    return placed, B.summarise_cells(placed, pivots)
-
-
 def k_distance_curve(df: DataFrame, id_col: str, vec: str, k: int, **opts) -> DataFrame:
     """Distance to the k-th neighbour of every row, in ascending order with its place."""
     far = knn_join(df, df, id_col, vec, k, **opts).groupBy("id").agg(F.max("dist").alias("k_distance"))

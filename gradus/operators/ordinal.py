@@ -153,16 +153,23 @@ def boosted_ordinal(df: DataFrame, y: str, features: str = "features", **params)
     return ordinal_classifier(df, boosted_trees(**params), y, features)
 
 
-def boosted_multiclass(df: DataFrame, y: str, features: str = "features", **params) -> BinaryEnsemble:
+def boosted_one_vs_rest(df: DataFrame, y: str, features: str = "features", **params) -> BinaryEnsemble:
     """One boosted model per class, probabilities normalised over the classes."""
     return fit_binary_ensemble(df, boosted_trees(**params), y, features, kind="ovr")
 
 
-def mlp_ordinal(df: DataFrame, y: str, dim: int, features: str = "features", hidden: Sequence[int] = (16,), max_iter: int = 50, seed: int = 42) -> BinaryEnsemble:
-    """Feed-forward nets for the thresholds; decode with ``threshold_decode`` over :meth:`BinaryEnsemble.cumulative`."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
+def boosted_multiclass(df: DataFrame, id_col: str, vec: str, y: str, dim: int, **params):
+    """One machine over all classes with softmax losses and leaf penalties: :func:`gradus.operators.trees.fit_boosted_classes`."""
+    from gradus.operators.trees import fit_boosted_classes
 
-    return ordinal_classifier(df, MultilayerPerceptronClassifier(layers=[dim, *hidden, 2], maxIter=max_iter, seed=seed), y, features)
+    return fit_boosted_classes(df, id_col, vec, y, dim, **params)
+
+
+def mlp_ordinal(df: DataFrame, id_col: str, vec: str, y: str, dim: int, **params):
+    """One net with k - 1 sigmoid outputs: :func:`gradus.operators.ordinal_net.fit_ordinal_net`."""
+    from gradus.operators.ordinal_net import fit_ordinal_net
+
+    return fit_ordinal_net(df, id_col, vec, y, dim, **params)
 
 
 # --- threshold models -------------------------------------------------------

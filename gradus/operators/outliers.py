@@ -241,8 +241,54 @@ def fit_robust_covariance(
     return mean, cov
 
 
+def chi2_quantile(share: float, dof: float) -> float:
+    """The value below which ``share`` of a chi-squared variable lies, by bisection."""
+    from gradus.operators.diagnostics import chi2_sf
+
+    low, high = 0.0, max(dof, 1.0)
+    while 1 - chi2_sf(high, dof) < share:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - chi2_sf(mid, dof) < share else (low, mid)
+    return (low + high) / 2
+
+
+#: share of clean rows that the reweighting keeps
+KEPT = 0.975
+
+
+def reweighted_covariance(df: DataFrame, vec: str, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The estimate from all rows that a robust one doesn't find far.
+
+    The robust covariance is first scaled so that the median distance is that
+    of a Gaussian. Rows within the 97.5 % distance then give mean and
+    covariance, which is scaled for the tail that was cut off.
+    """
+    from gradus.operators.diagnostics import chi2_sf
+
+    p = len(mean)
+    placed = with_mahalanobis(df.select(vec), vec, mean, _inverse(cov), "__d").persist()
+    median = exact_quantiles(placed, ["__d"], [0.5])["__d"][0]
+    scale = median / chi2_quantile(0.5, p) if median else 1.0
+    limit = chi2_quantile(KEPT, p)
+    inner = placed.filter(F.col("__d") <= limit * scale)
+    if inner.limit(p + 1).count() <= p:
+        placed.unpersist()
+        return mean, cov * scale
+    mean, cov = mean_and_cov(inner, vec)
+    placed.unpersist()
+    return mean, cov * KEPT / (1 - chi2_sf(limit, p + 2))
+
+
+def fit_elliptic(df: DataFrame, id_col: str, vec: str, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance by the minimum covariance determinant, made consistent and reweighted."""
+    return reweighted_covariance(df, vec, *fit_robust_covariance(df, id_col, vec, seed=seed))
+
+
 def outlier_elliptic(df: DataFrame, id_col: str, vec: str, contamination: float | str = "auto", seed: int = 42) -> DataFrame:
-    mean, cov = fit_robust_covariance(df, id_col, vec, seed=seed)
+    """Squared Mahalanobis distance from the robust estimate; the farthest rows are flagged."""
+    mean, cov = fit_elliptic(df, id_col, vec, seed)
     scored = with_mahalanobis(df, vec, mean, _inverse(cov), "score").persist()
     return flag_highest(scored, "score", contamination)
 

@@ -23,14 +23,10 @@ from gradus.operators.features import (
     fit_categories,
     fit_columns,
     fit_dates,
+    measured_columns,
 )
 from gradus.operators.projection import clean_features, columns_by_pattern
 
-# Prefixes of the steps whose columns are scaled.
-SCALED_STEPS = ("js_f1__job_state", "date__", "quants__", "jobdesc_cluster__")
-SCALE_PATTERN = "|".join(SCALED_STEPS)
-
-
 @dataclass(frozen=True)
 class ClusteredParams:
     dates: DateStats
@@ -65,9 +61,11 @@ def fit_clustered(
     numeric = [c for c in columns if not c.startswith("title__")]
     raw = fit_columns(wide, numeric)
     shrunk = {c: raw.std_pop[c] * (raw.present[c] / raw.rows) ** 0.5 if raw.rows else 0.0 for c in numeric}
-    cleaned.unpersist()
     fills = ColumnStats(raw.mean, shrunk, raw.std_samp, raw.low, raw.high, raw.empty, raw.rows, raw.present)
-    return ClusteredParams(dates, titles, clusters, soft, fills, tuple(columns_by_pattern(wide, SCALE_PATTERN, "numeric")), tuple(columns))
+    cleaned.unpersist()
+    # what is added to the grouped columns are distances and shares of clusters
+    measured = measured_columns(schema) | (set(wide.columns) - set(_grouped(cleaned, schema, dim, dates, titles, ()).columns))
+    return ClusteredParams(dates, titles, clusters, soft, fills, tuple(c for c in columns if c in measured), tuple(columns))
 
 
 def apply_clustered(df: DataFrame, schema: FeatureSchema, params: ClusteredParams, dim: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -52,7 +52,8 @@ for _name in ("ordinal_classifier", "boosted_ordinal", "boosted_multiclass", "ra
     counted(_name, "blocks", sums=_sums, top=_top)
 counted("proportional_odds", "coded, (VALUES (1), (2)) AS links(k)", sums=_sums, top=_top)
 counted("ordinal_immediate_threshold", "blocks", known=_in_classes("prediction"))
-counted("mlp_ordinal", "blocks", known=_in_classes("prediction"), cum=lambda: F.col("cum_0").between(0, 1) & F.col("cum_1").between(0, 1))
+counted("mlp_ordinal", "blocks", known=_in_classes("prediction"), cum=lambda: (F.col("cum_0") >= F.col("cum_1")) & F.col("cum_0").between(0, 1) & F.col("cum_1").between(0, 1))
+counted("left_out_votes", "blocks", sums=_sums, known=_in_classes("prediction"))
 counted("svm", "blocks, (VALUES (1), (2), (3)) AS kernels(k)", known=_in_classes("prediction"))
 counted("predict", "blocks")
 for _name in ("outlier_isolation_forest", "outlier_elliptic", "outlier_vote", "outlier_supervised"):
@@ -134,3 +135,96 @@ def _(t):
     after = FittedChain.load(t.spark, path).score(rows, dim, ["id"]).select("id", F.col("prediction").alias("b"), F.col("probability").alias("pb"))
     near = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) < 1e-9
     return before.join(after, "id").agg(F.count("*").alias("n"), F.count_if((F.col("a") == F.col("b")) & near).alias("equal"))
+
+
+def _majority(rows: DataFrame) -> float:
+    """The share of the most frequent class, which a constant model reaches."""
+    counts = [r["count"] for r in rows.groupBy("y").count().collect()]
+    return max(counts) / sum(counts)
+
+
+def _accuracy(rows: DataFrame) -> float:
+    return rows.agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
+
+
+@query("boosted_multiclass_fit_check", "SELECT true AS loss_falls, true AS beats_majority, true AS beats_one_vs_rest")
+def _(t):
+    """The training loss falls every round; on held-out rows the fit beats a constant, and its log-loss is below that of one machine per class, both on all rows and features."""
+    from gradus.operators.evaluation import train_test_split
+
+    parts = train_test_split(t.blocks.select("id", "vec", "y"), "id", 0.3, "y").persist()
+    train, test = parts.filter("part = 'train'"), parts.filter("part = 'test'")
+    same = {"depth": 4, "rate": 0.3, "subsample": 1.0, "columns": 1.0}
+    model = ordinal.boosted_multiclass(train, "id", "vec", "y", DIM, rounds=10, l1=0.1, bins=32, **same)
+    names = F.array(*[F.lit(c) for c in model.classes])
+    loss = lambda p: -F.log(F.greatest(F.get(p, F.array_position(names, F.col("y")).cast("int") - 1), F.lit(1e-15)))
+    own = model.transform(test, "vec").withColumn("loss", loss("probability"))
+    mean, hits = own.agg(F.avg("loss"), F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()
+    rest = ordinal.boosted_one_vs_rest(models.with_features(train, "vec", "y"), "y", trees=10, **same)
+    other = rest.transform(models.with_features(test, "vec", "y")).withColumn("loss", loss("probability")).agg(F.avg("loss")).first()[0]
+    row = (all(b < a for a, b in zip(model.losses, model.losses[1:])), hits > _majority(test), mean < other)
+    return t.spark.createDataFrame([row], "loss_falls boolean, beats_majority boolean, beats_one_vs_rest boolean")
+
+
+@query("holdout_estimate_forest_check", "SELECT count(*) AS n, true AS beats_majority, true AS share_is_one_over_e FROM blocks", ("blocks",))
+def _(t):
+    """Left-out rows are about 1 / e of all in every tree, every row has votes, and these beat a constant."""
+    row = result(t, "holdout_estimate_forest").first()
+    return t.spark.createDataFrame(
+        [(row["n"], row["accuracy"] > _majority(t.blocks), bool(abs(row["left_out"] - np.exp(-1)) < 0.02))], "n bigint, beats_majority boolean, share_is_one_over_e boolean"
+    )
+
+
+@query("mlp_ordinal_fit_check", "SELECT true AS beats_majority")
+def _(t):
+    rows = result(t, "mlp_ordinal")
+    return t.spark.createDataFrame([(_accuracy(rows) > _majority(rows) + 0.1,)], "beats_majority boolean")
+
+
+@query("logistic_regression_cv_check", "SELECT CAST(10 AS INTEGER) AS penalties, true AS gradients_vanish, true AS beats_majority, CAST(1 AS INTEGER) AS best")
+def _(t):
+    """Every fit of the path is at its optimum."""
+    from gradus.plans.learning import _path
+
+    path = _path(t)
+    best = sum(c == path.best for c in path.cs)
+    row = (len(path.cs), bool(path.gradients.max() < 1e-3), bool(path.scores.mean(1).max() > _majority(t.blocks)), best)
+    return t.spark.createDataFrame([row], "penalties int, gradients_vanish boolean, beats_majority boolean, best int")
+
+
+@query(
+    "ward_merges_check",
+    """WITH long AS (SELECT unnest(range(1, 65)) AS pos, vec FROM blocks), v AS (SELECT var_pop(vec[pos]) * count(*) AS ss FROM long GROUP BY pos)
+    SELECT (SELECT count(DISTINCT vec) - 1 FROM blocks) AS merges, true AS heights_rise, round(sum(ss), 6) AS squares, (SELECT count(*) FROM blocks) AS last_size FROM v""",
+    ("blocks",),
+)
+def _(t):
+    """Heights never fall, and the merges together remove all squared deviations of the table."""
+    from pyspark.sql import Window
+
+    m = result(t, "ward_merges").withColumn("before", F.lag("height").over(Window.orderBy("step")))  # at most as many rows as summaries
+    return m.agg(
+        F.count("*").alias("merges"), F.bool_and(F.col("height") >= F.coalesce("before", F.lit(0.0)) - 1e-9).alias("heights_rise"),
+        F.round(F.sum(F.col("height") * F.col("height") / 2), 6).alias("squares"), F.max("size").alias("last_size"),
+    )
+
+
+@query("outlier_elliptic_fit_check", "SELECT count(*) AS planted, count(*) AS flagged FROM blocks WHERE id % 40 = 0", ("blocks",))
+def _(t):
+    """Rows moved far away are flagged among all."""
+    from gradus.operators import outliers
+
+    moved = t.blocks.select("id", F.when(F.col("id") % 40 == 0, F.transform("vec", lambda x: x + 2.0)).otherwise(F.col("vec")).alias("vec"))
+    flags = outliers.outlier_elliptic(moved, "id", "vec", 0.05)
+    return flags.filter("id % 40 = 0").agg(F.count("*").alias("planted"), F.count_if("is_outlier").alias("flagged"))
+
+
+@query("halving_search_check", "SELECT * FROM (VALUES (0, 9, 3, 0), (1, 3, 1, 0), (2, 1, 0, 1)) AS v(rung, draws, survivors, best)")
+def _(t):
+    """Nine, three and one draw; the survivors are those of the next rung, the last rung has the best."""
+    rows = result(t, "halving_search").persist()
+    after = rows.select((F.col("rung") - 1).alias("rung"), "draw", F.lit(True).alias("seen"))
+    kept = rows.join(after, ["rung", "draw"], "left")
+    return kept.groupBy("rung").agg(
+        F.count("*").cast("int").alias("draws"), F.count_if(F.col("survives") & F.coalesce("seen", F.lit(False))).cast("int").alias("survivors"), F.count_if("is_best").cast("int").alias("best")
+    )

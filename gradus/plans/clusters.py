@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gradus.functions import arrays
-from gradus.operators import clustering, density, neighbors, quality
+from gradus.operators import clustering, density, neighbors, quality, ward
 from gradus.plans.registry import query
 from gradus.plans.standins import DIM
 from gradus.plans.statistics import rounded
@@ -23,6 +24,42 @@ def _(t):
     return rounded(neighbors.knn_join(t.blocks, t.blocks, "id", "vec", 5), "dist")
 
 
+#: a first level of 16 pivots with 4 each below, so that the second level is at work on the smallest tables
+TREE = {"cells": 16, "inner": 4}
+
+
+@query(
+    "knn_join_tree",
+    f"WITH {_KNN.format(k=5)} SELECT id, neighbor, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM knn",
+    ("blocks",),
+)
+def _(t):
+    return rounded(neighbors.knn_join(t.blocks, t.blocks, "id", "vec", 5, **TREE), "dist")
+
+
+@query("knn_join_approximate")
+def _(t):
+    return neighbors.knn_join_approximate(t.blocks, t.blocks, "id", "vec", 5, recall=0.95, **TREE).rows
+
+
+@query(
+    "knn_join_approximate_check",
+    f"""WITH {_KNN.format(k=5)} SELECT count(*) AS n, true AS recall_reached, count(*) AS ranked FROM knn""",
+    ("blocks",),
+)
+def _(t):
+    """Against the exact join: the share of neighbours found is at least 0.95, and no row has fewer or wrongly ordered ones."""
+    found = neighbors.knn_join_approximate(t.blocks, t.blocks, "id", "vec", 5, recall=0.95, **TREE).rows
+    exact = neighbors.knn_join(t.blocks, t.blocks, "id", "vec", 5)
+    both = found.alias("f").join(exact.select("id", "neighbor", F.col("dist").alias("true")), ["id", "neighbor"], "left")
+    order = Window.partitionBy("id").orderBy("rank")
+    ranked = both.withColumn("before", F.lag("dist").over(order))
+    return ranked.agg(
+        F.count("*").alias("n"), (F.count("true") >= 0.95 * F.count("*")).alias("recall_reached"),
+        F.count_if((F.col("dist") >= F.coalesce("before", F.lit(0.0))) & (F.coalesce("true", "dist") == F.col("dist"))).alias("ranked"),
+    )
+
+
 @query(
     "eps_join",
     f"WITH {_PAIRS} SELECT id AS id_a, other AS id_b, round(dist, 6) AS dist FROM pairs WHERE dist <= 1.15 AND id < other",
@@ -111,19 +148,31 @@ def _(t):
     return density.dbscan(_points(t), "id", "v", 1.17, 4)
 
 
-@query(
-    "dbscan_search",
-    f"""WITH RECURSIVE {_POINTS}, {_DBSCAN.format(eps=1.12, m=3)},
+def _search_sql(eps: float, m: int) -> str:
+    return f"""SELECT * FROM (WITH RECURSIVE {_POINTS}, {_DBSCAN.format(eps=eps, m=m)},
     kept AS (SELECT res.id, cluster, v FROM res JOIN points ON points.id = res.id WHERE cluster >= 0),
-    d AS (SELECT a.id, a.cluster, b.cluster AS oc, sum(list_distance(a.v, b.v)) AS tot, count(*) AS n FROM kept a JOIN kept b ON true GROUP BY 1, 2, 3),
+    d AS (SELECT a.id, a.cluster, b.cluster AS oc, sum(list_distance(a.v, b.v) * list_distance(a.v, b.v)) AS tot, count(*) AS n FROM kept a JOIN kept b ON true GROUP BY 1, 2, 3),
     ab AS (SELECT id, max(tot / nullif(n - 1, 0)) FILTER (WHERE cluster = oc) AS a, min(tot / n) FILTER (WHERE cluster <> oc) AS b FROM d GROUP BY 1)
-    SELECT 1.12::DOUBLE AS eps, 3 AS min_pts, CAST((SELECT max(cluster) + 1 FROM res) AS INTEGER) AS n_clusters,
+    SELECT {eps}::DOUBLE AS eps, {m} AS min_pts, CAST(coalesce((SELECT max(cluster) + 1 FROM res), 0) AS INTEGER) AS n_clusters,
     round(100.0 * (SELECT count(*) FROM res WHERE cluster < 0) / (SELECT count(*) FROM res), 6) AS noise_percent,
-    CASE WHEN (SELECT max(cluster) FROM res) > 0 THEN round((SELECT avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) FROM ab), 6) END AS silhouette""",
+    CASE WHEN (SELECT max(cluster) FROM res) > 0 THEN round((SELECT avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) FROM ab), 6) END AS silhouette)"""
+
+
+EPSES, MIN_PTSES = (1.08, 1.12, 1.15, 1.17), (3, 4)
+
+
+@query("dbscan_search", " UNION ALL ".join(_search_sql(e, m) for e in EPSES for m in MIN_PTSES), ("blocks",))
+def _(t):
+    return rounded(density.dbscan_search(_points(t), "id", "v", EPSES, MIN_PTSES), "noise_percent", "silhouette")
+
+
+@query(
+    "dbscan_settings",
+    " UNION ALL ".join(f"SELECT {e}::DOUBLE AS eps, {m} AS min_pts, * FROM (WITH RECURSIVE {_POINTS}, {_DBSCAN.format(eps=e, m=m)} SELECT * FROM res)" for e in EPSES for m in MIN_PTSES),
     ("blocks",),
 )
 def _(t):
-    return rounded(density.dbscan_search(_points(t), "id", "v", [1.12], [3]), "noise_percent", "silhouette")
+    return density.NeighbourTable(density.EpsGraph(_points(t), "id", "v", **TREE), EPSES, MIN_PTSES).clusters()
 
 
 @query(
@@ -200,6 +249,11 @@ def _(t):
     return clustering.hierarchical_clusters(t.blocks, "vec", 3, ["id"]).select("id", "cluster")
 
 
+@query("ward_merges")
+def _(t):
+    return ward.fit_ward(t.blocks, "vec").merge_table(t.spark)
+
+
 @query("gaussian_mixture")
 def _(t):
     out = clustering.gaussian_mixture(t.blocks.select("id", "vec"), "vec", 3, ["id"], max_iter=10)
@@ -221,7 +275,8 @@ def _(t):
     b = t.blocks.select("id", "vec").persist()
     return clustering.cluster_benchmark(b, "id", "vec", {
         "kmeans": lambda d: clustering.kmeans(d, "vec", 3, restarts=1),
-        "bisecting": lambda d: clustering.hierarchical_clusters(d, "vec", 3, ["id"]),
+        "bisecting": lambda d: clustering.bisecting_clusters(d, "vec", 3, ["id"]),
+        "ward": lambda d: clustering.hierarchical_clusters(d, "vec", 3, ["id"]),
     })
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradus.functions import arrays, scalars
+from gradus.functions import arrays, dates, scalars
 from gradus.operators import projection
 from gradus.plans.registry import query
 from gradus.plans.standins import POSTING_SCHEMA
@@ -46,6 +46,39 @@ def _(t):
     return t.postings.select("id", scalars.parse_year_month(F.col("job_posted_date")).alias("d"))
 
 
+_DATE_TEXTS = """texts AS (SELECT o_orderkey AS id, o_orderdate AS true_date, CASE o_orderkey % 9
+      WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m') WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 3 THEN strftime(o_orderdate, '%B %d, %Y')
+      WHEN 4 THEN strftime(o_orderdate, '%d %b %Y 10:20') WHEN 5 THEN strftime(o_orderdate, '%Y%m%d') WHEN 6 THEN strftime(o_orderdate, '%a, %d.%m.%Y') WHEN 7 THEN strftime(o_orderdate, '%b %Y')
+      ELSE strftime(o_orderdate, 'week %j of %Y') END AS txt FROM orders)"""
+
+
+def _date_texts(t):
+    """Order dates in eight layouts and as texts that aren't dates."""
+    layouts = ("yyyy-MM-dd", "yyyy/MM", "dd/MM/yyyy", "MMMM dd, yyyy", "dd MMM yyyy '10:20'", "yyyyMMdd", "EEE, dd.MM.yyyy", "MMM yyyy")
+    text = F.date_format("o_orderdate", "'week' DDD 'of' yyyy")
+    for i, layout in enumerate(layouts):
+        text = F.when(F.col("o_orderkey") % 9 == i, F.date_format("o_orderdate", layout)).otherwise(text)
+    return t.orders.select(F.col("o_orderkey").alias("id"), text.alias("txt"))
+
+
+@query(
+    "infer_dates",
+    f"""WITH {_DATE_TEXTS} SELECT id, CAST(CASE WHEN id % 9 IN (1, 7) THEN date_trunc('month', true_date) WHEN id % 9 < 8 THEN true_date END AS DATE) AS d FROM texts""",
+)
+def _(t):
+    texts = _date_texts(t)
+    return texts.select("id", dates.fit_date_layouts(texts, "txt").parse(F.col("txt")).alias("d"))
+
+
+@query(
+    "date_layouts",
+    f"""WITH {_DATE_TEXTS} SELECT CASE id % 9 WHEN 0 THEN 'Y-N-N' WHEN 1 THEN 'Y-N' WHEN 2 THEN 'N-N-Y' WHEN 3 THEN 'A-N-Y' WHEN 4 THEN 'N-A-Y' WHEN 5 THEN 'C' WHEN 6 THEN 'N-N-Y' WHEN 7 THEN 'A-Y' END AS layout,
+    count(*) AS texts, count(*) FILTER (id % 9 < 8) AS read FROM texts GROUP BY 1""",
+)
+def _(t):
+    return dates.layout_report(_date_texts(t), "txt")
+
+
 @query(
     "parse_date_lenient",
     """WITH texts AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-%d')

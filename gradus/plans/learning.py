@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.functions import arrays
-from gradus.operators import clustering, diagnostics, evaluation, lookups, models, ordinal, outliers, preprocess
+from gradus.operators import clustering, diagnostics, evaluation, lookups, models, ordinal, outliers, preprocess, trees
 from gradus.plans.registry import query
 from gradus.plans.standins import DIM, VECTOR_SCHEMA
 from gradus.plans.statistics import rounded
@@ -81,8 +81,11 @@ def _(t):
 
 @query("boosted_multiclass")
 def _(t):
-    data = _learn(t)
-    return _probs(ordinal.boosted_multiclass(data, "y", **SMALL_TREES).transform(data))
+    return _probs(_boosted(t.blocks.select("id", "vec", "y")).transform(t.blocks.select("id", "vec", "y"), "vec"))
+
+
+def _boosted(rows):
+    return ordinal.boosted_multiclass(rows, "id", "vec", "y", DIM, rounds=10, depth=4, rate=0.3, subsample=0.8, columns=0.7, l1=0.1, l2=1.0, bins=32)
 
 
 @query("random_forest")
@@ -100,8 +103,17 @@ def _(t):
 
 @query("logistic_regression_cv")
 def _(t):
-    data = evaluation.stratified_kfold(_learn(t), "id", "y", 3).select("label", "features", "fold")
-    return models.logistic_regression_cv(data, "label", "features", "fold", 3, [0.01, 0.1, 1.0, 10.0], data.count())[0]
+    return _path(t).score_table(t.spark)
+
+
+def _path(t):
+    """Ten penalties and ten folds."""
+    return models.logistic_regression_cv(evaluation.stratified_kfold(t.blocks.select("id", "vec", "y"), "id", "y", 10), "vec", "y", "fold", DIM)
+
+
+@query("coefficient_table")
+def _(t):
+    return _path(t).coefficients(t.spark, [f"vec_{i}" for i in range(DIM)])
 
 
 @query("multinomial_logit_summary")
@@ -130,8 +142,8 @@ def _(t):
 
 @query("mlp_ordinal")
 def _(t):
-    data = _learn(t)
-    out = ordinal.mlp_ordinal(data, "y", DIM, hidden=(8,), max_iter=30).cumulative(data)
+    data = t.blocks.select("id", "vec", "y")
+    out = ordinal.mlp_ordinal(data, "id", "vec", "y", DIM, hidden=(16, 8), epochs=60).cumulative(data, "vec")
     return out.select("id", "y", "cum_0", "cum_1", arrays.threshold_decode([F.col("cum_0"), F.col("cum_1")]).alias("prediction"))
 
 
@@ -231,7 +243,14 @@ def _(t):
 
 @query("holdout_estimate_forest")
 def _(t):
-    return evaluation.holdout_estimate_forest(_learn(t), "id", "features", "label", 3, 10, 4)
+    return evaluation.holdout_estimate_forest(t.blocks, "id", "vec", "y", DIM, 50, 5)
+
+
+@query("left_out_votes")
+def _(t):
+    """Every row with the class shares of the trees whose bootstrap left it out."""
+    votes = trees.fit_bagged_forest(t.blocks, "id", "vec", "y", DIM, 50, 5).left_out_votes()
+    return votes.select("id", F.col("label").alias("y"), "n_out", "prediction", *[F.get("votes", F.lit(i)).alias(f"p{i}") for i in range(3)])
 
 
 @query("param_search")
@@ -245,6 +264,21 @@ def _(t):
     return evaluation.param_search(folded, make, space, 3, 2, "y").drop("params", "mean_fit_time")
 
 
+HALVING_DRAWS = 9
+
+
+@query("halving_search")
+def _(t):
+    """Nine draws on a ninth of the rows, three on a third, one on all."""
+    folded = evaluation.stratified_kfold(_learn(t), "id", "y", 3)
+    space = {"trees": ("int", 5, 20), "depth": ("choice", [2, 4, 6]), "min_leaf": ("int", 1, 8)}
+
+    def make(p):
+        return evaluation.estimator_fit_predict(models.random_forest(p["trees"], p["depth"], p["min_leaf"]), ["id", "y", "fold", "prediction"])
+
+    return evaluation.halving_search(folded, make, space, HALVING_DRAWS, 3, "y", "id").drop("params")
+
+
 @query(
     "run_record",
     """SELECT 'search' AS run_name, CAST(1 AS INTEGER) AS run_index, max(score) AS best_score, CAST(least(count(*), 5) AS INTEGER) AS n_top,

@@ -70,7 +70,7 @@ class ChainOptions:
     keep_share: float | int | str = 0.65
     selection_trees: int = 100
     selection_depth: int = 5
-    #: boosted tree settings; the defaults are the published best ones
+    # The best settings of the boosted trees.
     model: Mapping = (("trees", 800), ("depth", 10), ("rate", 0.005), ("subsample", 0.8), ("columns", 0.7))
     outliers: bool = True
     contamination: float | str = "auto"

@@ -81,7 +81,7 @@ def test_ordinal_ensembles(spark, ordered, tmp_path):
     for model in (
         ordinal.ordinal_classifier(df, models.logistic_regression(1000), "y"),
         ordinal.boosted_ordinal(df, "y", trees=5, depth=3, rate=0.3, subsample=1.0),
-        ordinal.boosted_multiclass(df, "y", trees=5, depth=3, rate=0.3, subsample=1.0),
+        ordinal.boosted_one_vs_rest(df, "y", trees=5, depth=3, rate=0.3, subsample=1.0),
     ):
         out = model.transform(df).select("y", "prediction", "probability").collect()
         assert np.mean([r["y"] == r["prediction"] for r in out]) > 0.6

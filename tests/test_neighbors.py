@@ -8,6 +8,7 @@ from gradus.operators import density, mutual_info, neighbors, quality
 
 TINY = {"cells": 9, "block_rows": 40, "chunk_rows": 30}
 ONE = {"cells": 1}
+TWO = {"cells": 4, "inner": 3, "block_rows": 40, "chunk_rows": 30}
 
 
 def points(n=300, dim=3, seed=1, copies=100):
@@ -25,7 +26,7 @@ def distances(a, b):
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
 
 
-@pytest.mark.parametrize("opts", [TINY, ONE])
+@pytest.mark.parametrize("opts", [TINY, ONE, TWO])
 def test_knn_join(spark, opts):
     x = points()
     df = table(spark, x)
@@ -48,7 +49,7 @@ def test_knn_join_other_table(spark):
         assert g["neighbor"].tolist() == np.argsort(dist[i], kind="stable")[:3].tolist()
 
 
-@pytest.mark.parametrize("opts", [TINY, ONE])
+@pytest.mark.parametrize("opts", [TINY, ONE, TWO])
 def test_eps_join(spark, opts):
     x = points(copies=20)
     got = neighbors.eps_join(table(spark, x), "id", "v", 0.4, **opts).toPandas()
@@ -80,7 +81,7 @@ def brute_dbscan(x, eps, m):
     return out, core
 
 
-@pytest.mark.parametrize("opts", [TINY, ONE])
+@pytest.mark.parametrize("opts", [TINY, ONE, TWO])
 def test_dbscan(spark, opts):
     x = points(copies=90)
     got = density.dbscan(table(spark, x), "id", "v", 0.35, 5, **opts).toPandas().sort_values("id")
@@ -88,6 +89,57 @@ def test_dbscan(spark, opts):
     assert got["cluster"].tolist() == label.tolist() and got["is_core"].tolist() == core.tolist()
 
 
+@pytest.mark.parametrize("opts", [TINY, ONE, TWO])
+def test_neighbour_table_answers_every_setting(spark, opts):
+    x = points(copies=40)
+    epses, min_ptses = [0.45, 0.2, 0.3, 0.35], [3, 5, 45]
+    table_of = density.NeighbourTable(density.EpsGraph(table(spark, x), "id", "v", **opts), epses, min_ptses)
+    got = table_of.clusters().toPandas().sort_values("id")
+    assert len(got) == len(x) * len(epses) * len(min_ptses)
+    for eps in epses:
+        for m in min_ptses:
+            label, core = brute_dbscan(x, eps, m)
+            one = got[(got["eps"] == eps) & (got["min_pts"] == m)]
+            assert one["cluster"].tolist() == label.tolist() and one["is_core"].tolist() == core.tolist()
+
+
+def test_search_scores(spark):
+    x = points(copies=0)
+    df = table(spark, x)
+    squared = density.dbscan_search(df, "id", "v", [0.3, 0.5], [4]).toPandas().set_index("eps")
+    plain = density.dbscan_search(df, "id", "v", [0.3, 0.5], [4], score="euclidean", **TWO).toPandas().set_index("eps")
+    for eps in (0.3, 0.5):
+        label, _ = brute_dbscan(x, eps, 4)
+        kept, y = x[label >= 0], label[label >= 0]
+        for got, d in ((squared, distances(kept, kept) ** 2), (plain, distances(kept, kept))):
+            s = []
+            for i in range(len(kept)):
+                own = y == y[i]
+                a, b = d[i, own].sum() / max(own.sum() - 1, 1), min(d[i, y == c].mean() for c in set(y) - {y[i]})
+                s.append((b - a) / max(a, b) if own.sum() > 1 else 0.0)
+            assert np.isclose(got.loc[eps, "silhouette"], np.mean(s), atol=1e-9)
+            assert got.loc[eps, "n_clusters"] == label.max() + 1 and np.isclose(got.loc[eps, "noise_percent"], 100 * (label < 0).mean())
+
+
+@pytest.mark.parametrize("opts", [TINY, TWO, ONE])
+def test_approximate_neighbours_reach_the_recall(spark, opts):
+    x = points(n=600, seed=5, copies=100)
+    df = table(spark, x)
+    found = neighbors.knn_join_approximate(df, df, "id", "v", 5, recall=0.9, sample=60, **opts)
+    got, exact = found.rows.toPandas(), neighbors.knn_join(df, df, "id", "v", 5).toPandas()
+    assert len(got) == len(exact) == 5 * len(x)
+    both = got.merge(exact, on=["id", "neighbor"])
+    assert len(both) >= 0.9 * len(exact) and found.recall >= 0.9 and np.allclose(both["dist_x"], both["dist_y"])
+    assert opts is ONE or found.probes < opts["cells"] * opts.get("inner", 1)
+
+
+def test_more_neighbours_than_a_cell_holds(spark):
+    x = points(n=60, copies=0)
+    df = table(spark, x)
+    found = neighbors.knn_join_approximate(df, df, "id", "v", 40, recall=0.1, sample=10, cells=20, block_rows=40, chunk_rows=30)
+    assert found.rows.count() == 40 * 60
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 60)]
     star = [(1000, 1000 + i) for i in range(1, 80)]
