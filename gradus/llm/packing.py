@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus.llm.common import batches_of, id_and_text, small_batches, stored
-from gradus.llm.tokens import WordTokenizer
+from gradus.llm.tokens import WordTokenizer, gathered
 from gradus.session import checkpointed
 
 SEQUENCE = 2048
@@ -194,9 +194,13 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     """(uid, doc_id, piece, start, length, ids_crc32): documents with their end id, cut only where they are longer than a sequence."""
     small_batches(docs.sparkSession)
 
-    def run(batch):
-        ids, stops = WordTokenizer.shared(tokenizer).encode(batch.column(1), end_id)
-        rows, piece, start, length, crc, low = [], [], [], [], [], 0
+    def run(batches):
+        words = WordTokenizer(tokenizer)
+        for batch in gathered(batches):
+            yield cut_pieces(batch, *words.encode(batch.column(1), end_id))
+
+    def cut_pieces(batch, ids, stops):
+        ids, rows, piece, start, length, crc, low = ids.astype("<u4", copy=False), [], [], [], [], [], 0
         for d, high in enumerate(stops.tolist()):
             for p, at in enumerate(range(low, high, capacity)):
                 part = ids[at : min(at + capacity, high)]
@@ -204,13 +208,13 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
                 piece.append(p)
                 start.append(at - low)
                 length.append(len(part))
-                crc.append(zlib.crc32(part.astype("<u4").tobytes()))
+                crc.append(zlib.crc32(part))
             low = high
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    cut = rows.mapInArrow(batches_of(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    cut = rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     return stored(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gradus.bounds import collect_small
 from gradus.llm.common import id_and_text, shared_folder, small_batches
-from gradus.llm.tokens import WordTokenizer
+from gradus.llm.tokens import WordTokenizer, gathered
 
 #: ids of a block; a longer document makes a block of its own
 BLOCK_IDS = 1 << 20
@@ -128,11 +128,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches):
-        words = WordTokenizer.shared(tokenizer)
+        words = WordTokenizer(tokenizer)
         width = 2 if words.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         part, seq = TaskContext.get().partitionId(), 0
         keys, ends, held, size = [], [], [], 0
-        for batch in batches:
+        for batch in gathered(batches):
             ids, stops = words.encode(batch.column(1), end_id)
             before = 0
             for key, stop in zip(batch.column(0).to_pylist(), stops.tolist()):

@@ -3,88 +3,114 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: pieces that a worker remembers; then it starts anew
-REMEMBERED = 600_000
+#: bytes of pieces and their ids that a task remembers; then it starts anew
+REMEMBERED_BYTES = 24_000_000
 #: ASCII signs that are tokens of their own behind a letter or digit (an apostrophe may begin a contraction)
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """Loaded once per Python worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task one core
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordTokenizer:
     """Encodes texts piece by piece between ASCII white space, and each distinct piece once while it is remembered.
 
-    Right for tokenizers that ignore the case of ASCII letters, drop white
-    space, split signs from letters and digits, and never join ids across these
-    borders, such as BPE with word ends.
+    A task makes its own, so what is remembered goes with the task. Right for
+    tokenizers that ignore the case of ASCII letters, drop white space, split
+    signs from letters and digits, and never join ids across these borders,
+    such as BPE with word ends.
     """
 
-    _shared: dict[str, WordTokenizer] = {}
-
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self._forget()
 
-    @classmethod
-    def shared(cls, path: str) -> WordTokenizer:
-        """One for all tasks of a Python worker."""
-        if path not in cls._shared:
-            cls._shared[path] = cls(path)
-        return cls._shared[path]
-
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.first, self.size, self.held = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        fresh = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED and self.known:
+    def _places(self, names: list[str]) -> np.ndarray:
+        """The places of pieces in ``first`` and ``size``; unknown ones are encoded."""
+        if self.held > REMEMBERED_BYTES:
             self._forget()
-            fresh = pieces
-        sizes, ids = [], []
+        fresh = list({p: None for p in names if p not in self.known})
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for at in range(0, len(fresh), 10_000):
-            for found in self.tokenizer.encode_batch(fresh[at : at + 10_000], add_special_tokens=False):
-                own = found.ids
-                sizes.append(len(own))
-                ids += own
-        size = np.array(sizes, np.int64)
+            some = fresh[at : at + 10_000]
+            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+            sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+        size, ids = np.concatenate(sizes), np.concatenate(ids)
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+        self.held += sum(map(len, fresh)) + 4 * len(ids) + 16 * len(fresh)
+        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
 
     @staticmethod
-    def _parts(piece: str) -> tuple[str, str]:
-        """The piece without the signs at its end, and these, if a letter or digit is before them."""
-        if "<|" in piece:  # may be a special token
-            return piece, ""
-        if piece.isascii():
-            piece = piece.lower()
-        core = piece.rstrip(SIGNS)
-        return (core, piece[len(core) :]) if core and core[-1].isalnum() and core[-1].isascii() else (piece, "")
+    def _parts(pieces: pa.Array) -> tuple[pa.Array, list[str], np.ndarray]:
+        """The pieces without the signs at their ends, where a letter or digit is before them; the distinct signs, and each piece's place among these."""
+        lower = pc.ascii_lower(pieces)
+        core = pc.ascii_rtrim(lower, SIGNS)
+        cut = pc.and_(pc.match_substring_regex(core, "[a-z0-9]$"), pc.less(pc.binary_length(core), pc.binary_length(lower)))
+        special = pc.match_substring(pieces, "<|")  # may be a special token
+        core = pc.if_else(special, pieces, pc.if_else(cut, core, lower))
+        at = np.flatnonzero(pc.and_not(cut, special).to_numpy(zero_copy_only=False))
+        kept, place = {"": 0}, np.zeros(len(pieces), np.int64)
+        lengths = (pc.binary_length(lower).to_numpy() - pc.binary_length(core).to_numpy())[at].tolist()
+        place[at] = [kept.setdefault(p[-n:], len(kept)) for p, n in zip(lower.take(pa.array(at)).to_pylist(), lengths)]
+        return core, list(kept), place
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, end of each text among them); every text is followed by ``end_id``, a null text has that alone."""
         n = len(texts)
         pieces = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
+        counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pieces.flatten().dictionary_encode()
-        place = coded.indices.to_numpy()
-        parts = [self._parts(p) for p in coded.dictionary.to_pylist()]
-        self._learn(list({x for two in parts for x in two}))
-        core, sign = (np.fromiter((self.known[two[i]] for two in parts), np.int64, len(parts)) for i in (0, 1))
-        # every piece is its core and its signs
-        both = np.stack([core[place], sign[place]], 1).ravel()
-        lengths = self.size[both]
-        begins = np.cumsum(lengths) - lengths
-        ids = self.flat[np.repeat(self.first[both] - begins, lengths) + np.arange(lengths.sum())]
-        last = np.concatenate([[0], np.cumsum(lengths)])[2 * np.cumsum(counts)] if n else np.zeros(0, np.int64)
-        return np.insert(ids, last, np.uint32(end_id)), last + np.arange(1, n + 1)
+        core, signs, sign_at = self._parts(coded.dictionary)
+        core = core.dictionary_encode()
+        both = self._places([*core.dictionary.to_pylist(), *signs])
+        core_at, sign_at = both[: -len(signs)][core.indices.to_numpy()], both[-len(signs) :][sign_at]
+        # the ids of each distinct piece, one after another, and the end id behind them
+        two = np.stack([core_at, sign_at], 1).ravel()
+        lengths = self.size[two]
+        before = np.cumsum(lengths) - lengths
+        flat = np.append(self.flat[np.repeat(self.first[two] - before, lengths) + np.arange(lengths.sum())], np.uint32(end_id))
+        size = np.append(lengths[::2] + lengths[1::2], 1)
+        first = np.append(before[::2], len(flat) - 1)
+        # the pieces of the texts, each text with the end behind it
+        stops = np.cumsum(counts)
+        place = np.insert(coded.indices.to_numpy().astype(np.int64), stops, len(size) - 1)
+        long = size[place]
+        ends = np.cumsum(long)
+        ids = flat[np.repeat(first[place] - (ends - long), long) + np.arange(ends[-1] if n else 0)]
+        return ids, ends[stops + np.arange(n)] if n else np.zeros(0, np.int64)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``size`` bytes: the more text at once, the fewer distinct words in all."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
