@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import datetime
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
+from itertools import combinations_with_replacement
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions.scalars import ordinal_decode, ordinal_encode
 from gradus.functions.schema import FeatureSchema
-from gradus.operators import evaluation, outliers, predictions, preprocess, selection
+from gradus.operators import evaluation, models, outliers, predictions, preprocess, selection
 from gradus.operators.clustering import ClusterFeatures
 from gradus.operators.features import BlockStats, Categories, ColumnStats, DateStats
-from gradus.operators.ordinal import BinaryEnsemble, boosted_ordinal
+from gradus.operators.ordinal import BinaryEnsemble, boosted_trees, ordinal_classifier
 from gradus.session import checkpointed
 
 
@@ -28,19 +30,22 @@ class FittedChain:
     params: preprocess.ClusteredParams
     positions: tuple[int, ...]
     model: BinaryEnsemble
+    #: products of up to that many selected features are features too
+    degree: int = 1
 
     def score(self, df: DataFrame, dim: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Adds ``prediction`` and ``probability``; rows only, so it also runs on a stream."""
         wide = preprocess.apply_clustered(df, self.schema, self.params, dim, keep)
         x = preprocess.as_vector(wide, [self.params.columns[i] for i in self.positions], keep)
-        return self.model.transform(x.withColumn("features", array_to_vector("x"))).drop("features", "x")
+        features = array_to_vector(products(F.col("x"), len(self.positions), self.degree))
+        return self.model.transform(x.withColumn("features", features)).drop("features", "x")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Writes schema, parameters, positions, the table of rare categories and the model below ``path``."""
         p, rare = self.params, self.params.titles.rare
         plain = asdict(replace(p, titles=replace(p.titles, rare=None)))
         plain["dates"] |= {"first": p.dates.first.isoformat(), "months": [[m, *v] for m, v in p.dates.months.items()]}
-        meta = {"schema": asdict(self.schema), "params": plain, "positions": list(self.positions), "rare": rare is not None}
+        meta = {"schema": asdict(self.schema), "params": plain, "positions": list(self.positions), "degree": self.degree, "rare": rare is not None}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/chain")
         if rare is not None:
             rare.write.mode("overwrite").parquet(f"{path}/rare")
@@ -59,17 +64,23 @@ class FittedChain:
             ClusterFeatures(BlockStats(*[tuple(c["block"][k]) for k in ("mean", "scaled_mean", "scale")]), tuple(map(tuple, c["centers"])), tuple(c["defaults"]), c["rule"]),
             p["soft"], ColumnStats(**{k: tuple(v) if k == "empty" else v for k, v in p["fills"].items()}), tuple(p["scaled"]), tuple(p["columns"]),
         )
-        return FittedChain(schema, params, tuple(meta["positions"]), BinaryEnsemble.load(spark, f"{path}/model"))
+        return FittedChain(schema, params, tuple(meta["positions"]), BinaryEnsemble.load(spark, f"{path}/model"), meta["degree"])
 
 
 @dataclass(frozen=True)
 class ChainOptions:
+    """``selector`` and ``learner`` are names in ``SELECTORS`` and ``LEARNERS``; ``model`` has the learner's own settings."""
+
     clusters: int = 3
+    restarts: int = 1
     block_dim: int = 300
     min_count: int = 10
     keep_share: float | int | str = 0.65
+    selector: str = "trees"
     selection_trees: int = 100
     selection_depth: int = 5
+    degree: int = 1
+    learner: str = "boosted"
     # The best settings of the boosted trees.
     model: Mapping = (("trees", 800), ("depth", 10), ("rate", 0.005), ("subsample", 0.8), ("columns", 0.7))
     outliers: bool = True
@@ -77,19 +88,49 @@ class ChainOptions:
     neighbours: int = 20
 
 
-def fit_chain(df: DataFrame, schema: FeatureSchema, dim: DataFrame, y: str, opts: ChainOptions) -> FittedChain:
-    """Preprocess, select by tree importance, fit the ordinal boosted trees."""
-    params = preprocess.fit_clustered(df, schema, dim, opts.block_dim, opts.clusters, min_count=opts.min_count)
+def _by_trees(x: DataFrame, y: str, names: list[str], opts: ChainOptions) -> DataFrame:
+    return selection.select_tree_importance(x, "x", y, names, opts.keep_share, opts.selection_trees, opts.selection_depth)
+
+
+#: (rows with vector "x", class, names, options) -> selection table; None keeps all features
+SELECTORS: dict[str, Callable[[DataFrame, str, list[str], ChainOptions], DataFrame] | None] = {
+    "trees": _by_trees,
+    "anova": lambda x, y, names, opts: selection.select_anova(x, "x", y, names, opts.keep_share),
+    "l1": lambda x, y, names, opts: selection.select_l1(x, "x", y, names, opts.keep_share),
+    "variance": lambda x, y, names, opts: selection.select_variance(x, "x", names, 0.5),
+    "none": None,
+}
+
+#: (rows, settings) -> binary learner for the thresholds of the ordered classes
+LEARNERS: dict[str, Callable] = {
+    "boosted": lambda n, **params: boosted_trees(**params),
+    "forest": lambda n, **params: models.random_forest(**params),
+    "logistic": lambda n, **params: models.logistic_regression(n, **params),
+}
+
+
+def products(x: Column, size: int, degree: int) -> Column:
+    """The elements of an array and, up to ``degree``, their products with repetition."""
+    if degree <= 1:
+        return x
+    every = [m for d in range(1, degree + 1) for m in combinations_with_replacement(range(size), d)]
+    return F.array(*[reduce(lambda a, b: a * b, [F.get(x, F.lit(i)) for i in m]) for m in every])
+
+
+def fit_chain(df: DataFrame, schema: FeatureSchema, dim: DataFrame, y: str, opts: ChainOptions, cluster_rows: DataFrame | None = None) -> FittedChain:
+    """Preprocess, select, fit one learner per threshold; ``cluster_rows`` replace the rows in the cluster fit, say training and scoring rows together."""
+    params = preprocess.fit_clustered(df, schema, dim, opts.block_dim, opts.clusters, min_count=opts.min_count, restarts=opts.restarts, cluster_rows=cluster_rows)
     wide = preprocess.apply_clustered(df, schema, params, dim, [y])
     x = preprocess.as_vector(wide, params.columns, [y]).persist()
-    chosen = selection.select_tree_importance(
-        x, "x", y, list(params.columns), opts.keep_share, opts.selection_trees, opts.selection_depth
-    )
-    positions = tuple(selection.selected_positions(chosen, "rank"))
-    data = x.select(y, array_to_vector(F.array(*[F.get("x", F.lit(i)) for i in positions])).alias("features"))
-    model = boosted_ordinal(data, y, "features", **dict(opts.model))
+    select = SELECTORS[opts.selector]
+    positions = tuple(range(len(params.columns)))
+    if select is not None:
+        positions = tuple(selection.selected_positions(select(x, y, list(params.columns), opts), "rank"))
+    chosen = F.array(*[F.get("x", F.lit(i)) for i in positions])
+    data = x.select(y, chosen.alias("x")).select(y, array_to_vector(products(F.col("x"), len(positions), opts.degree)).alias("features"))
+    model = ordinal_classifier(data, LEARNERS[opts.learner](x.count(), **dict(opts.model)), y, "features")
     x.unpersist()
-    return FittedChain(schema, params, positions, model)
+    return FittedChain(schema, params, positions, model, opts.degree)
 
 
 def drop_training_outliers(df: DataFrame, schema: FeatureSchema, dim: DataFrame, id_col: str, opts: ChainOptions):

@@ -8,7 +8,7 @@ from gradus.operators import lookups
 from gradus.plans.learning import _small_chain
 from gradus.plans.registry import Tables
 from gradus.plans.standins import VECTOR_SCHEMA
-from gradus.plans.training import generate_predictions, train_best_model
+from gradus.plans.training import FittedChain, fit_chain, generate_predictions, train_best_model, training_rows
 from gradus.streaming.scoring import score_stream
 from oracle import compare, duck
 
@@ -39,6 +39,19 @@ def test_train_then_score_a_stream(spark, tmp_path):
     assert streamed.count() == 500 and streamed.join(batch, "id").filter("prediction != b").count() == 0
 
 
+def test_other_selectors_learners_and_products(spark, tmp_path):
+    rows = Tables(spark, SF).candidates.persist()
+    dim = lookups.state_salary(spark)
+    opts = _small_chain(outliers=False, selector="anova", keep_share=6, learner="logistic", model={"c": 1.0, "max_iter": 20}, degree=2)
+    kept, _, _ = training_rows(rows, VECTOR_SCHEMA, dim, opts)
+    chain = fit_chain(kept, VECTOR_SCHEMA, dim, "y", opts, cluster_rows=rows)
+    assert len(chain.positions) == 6 and chain.model.models[0].numFeatures == 6 + 21
+    scored = chain.score(rows, dim, ["id"])
+    chain.save(spark, str(tmp_path / "c"))
+    again = FittedChain.load(spark, str(tmp_path / "c")).score(rows, dim, ["id"]).select("id", F.col("prediction").alias("b"))
+    assert scored.join(again, "id").filter("prediction = b").count() == 500
+
+
 @pytest.fixture(scope="module")
 def con():
     return duck(SF)
