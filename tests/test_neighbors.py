@@ -220,3 +220,46 @@ def test_neighbour_mutual_information(spark, max_rows):
             total += psi(max(1, int((d < same).sum())))
         want = psi(n) + psi(3) - np.mean([psi(int((y == c).sum())) for c in y]) - total / n
         assert np.isclose(got[j], max(0.0, want), atol=1e-6)
+
+
+def test_rows_travel_a_bounded_number_of_times():
+    from gradus.operators import blocks
+
+    for n in (100_000, 500_000):
+        assert n / blocks.block_size(n) <= 16 and blocks.cell_count(n) == 16
+    assert blocks.block_size(10**8) == blocks.BLOCK_ROWS and blocks.block_size(10) == blocks.LEAST_ROWS
+
+
+def test_donors_of_a_block_are_those_of_all_distances():
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(300, 6)), np.round(rng.normal(size=(300, 6))), rng.normal(size=(300, 6)) * 1e6 + 1e9, rng.normal(size=(7, 6))):
+        x[rng.random(x.shape) < 0.3] = np.nan
+        ids, q = rng.permutation(len(x)), x[:60]
+        got = set()
+        for rows, pos, at, _ in neighbors._block_donors(q, x, ids, 5, first=32):
+            got |= set(zip(rows.tolist(), pos.tolist(), at.tolist()))
+        want = set()
+        for i, row in enumerate(q):
+            both = ~np.isnan(row) & ~np.isnan(x)
+            d = np.sqrt(np.where(both, np.nan_to_num(row) - np.nan_to_num(x), 0.0).__pow__(2).sum(1) * 6 / np.maximum(both.sum(1), 1))
+            order = [c for c in np.lexsort((ids, d)) if both[c].any()]
+            want |= {(i, int(j), int(c)) for j in np.flatnonzero(np.isnan(row)) for c in [c for c in order if not np.isnan(x[c, j])][:5]}
+        assert got == want
+
+
+def test_forest_of_a_block_keeps_the_components_of_every_level():
+    rng = np.random.default_rng(5)
+    a, b, level = rng.integers(0, 80, 400), rng.integers(0, 80, 400), rng.integers(0, 4, 400)
+    kept = density._forest(a, b, level, 80)
+
+    def parts(at, top):
+        label = np.arange(80)
+        for u, v in zip(a[at][level[at] <= top], b[at][level[at] <= top]):
+            label[label == max(label[u], label[v])] = min(label[u], label[v])
+        return label.tolist()
+
+    assert len(kept) < 80 and all(parts(kept, t) == parts(np.arange(400), t) for t in range(4))
+    forests = density._Forests(np.arange(80), np.arange(80), most=0)
+    for i in range(0, 400, 10):
+        forests.add(a[i : i + 10], b[i : i + 10], level[i : i + 10])
+    assert len(forests.edges()[0]) < 80
