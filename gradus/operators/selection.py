@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.bounds import collect_small
 from gradus.operators.aggregates import vector_corr_pairs, vector_moments
+from gradus.operators.quantiles import SKETCH_ACCURACY
 
 SELECTION = "feature string, position int, score double, rank int, selected boolean"
 
@@ -104,17 +105,45 @@ def select_anova(df: DataFrame, vec: str, y: str, names: Sequence[str], k) -> Da
     return ranked_table(df.sparkSession, scores, names, selection_size(k, len(names)))
 
 
+def quantile_edges(df: DataFrame, vec: str, p: int, bins: int) -> list[list[float]]:
+    """Per position, the inner edges of ``bins`` bins of equal shares: for each, the least value up to which its share of the non-null values lies.
+
+    A sketch brackets every edge, one pass counts the values below the brackets, one reads
+    the values inside them (a few in ten thousand).
+    """
+    slack, inner = 2.0 / SKETCH_ACCURACY, range(1, bins)
+    probs = [max(0.0, min(1.0, i / bins + side)) for i in inner for side in (-slack, slack)]
+    sketch = df.select(
+        *[F.percentile_approx(F.get(vec, F.lit(i)), F.array(*map(F.lit, probs)), F.lit(SKETCH_ACCURACY)).alias(f"e{i}") for i in range(p)]
+    ).first()
+    known = [(i, sketch[f"e{i}"][::2], sketch[f"e{i}"][1::2]) for i in range(p) if sketch[f"e{i}"] is not None]
+    if not known:
+        return [[] for _ in range(p)]
+    ends = df.sparkSession.createDataFrame(known, "pos int, low array<double>, high array<double>")
+    x = F.col("x")
+    rows = df.select(F.posexplode(vec).alias("pos", "x")).filter(x.isNotNull()).withColumn("x", x.cast("double")).join(F.broadcast(ends), "pos")
+    at = lambda side, i: F.get(side, F.lit(i - 1))
+    counts = collect_small(rows.groupBy("pos").agg(F.count("*").alias("n"), *[F.count_if(x < at("low", i)).alias(f"b{i}") for i in inner]))
+    wanted = [(r["pos"], i, max(1, -(-i * r["n"] // bins)) - r[f"b{i}"]) for r in counts for i in inner]
+    need = df.sparkSession.createDataFrame(wanted, "pos int, edge int, need bigint")
+    inside = F.array_compact(F.array(*[F.when((x >= at("low", i)) & (x <= at("high", i)), F.lit(i)) for i in inner]))
+    values = rows.select("pos", "x", F.explode(inside).alias("edge")).groupBy("pos", "edge", "x").count()
+    upto = F.sum("count").over(Window.partitionBy("pos", "edge").orderBy("x"))
+    found = values.withColumn("upto", upto).join(F.broadcast(need), ["pos", "edge"]).filter("upto >= need")
+    edges: list[list[float]] = [[] for _ in range(p)]
+    for r in sorted(collect_small(found.groupBy("pos", "edge").agg(F.min("x").alias("x"))), key=lambda r: (r["pos"], r["edge"])):
+        edges[r["pos"]].append(r["x"])
+    return edges
+
+
 def mutual_info_binned(df: DataFrame, vec: str, y: str, p: int, bins: int = 10) -> list[float]:
     """Mutual information of quantile-binned positions with the class.
 
-    Bin edges come from the bounded-memory sketch; the contingency counts
-    (positions x bins x classes) are the only thing shuffled.
+    Bin edges are exact (:func:`quantile_edges`); the contingency counts
+    (positions x bins x classes) are the only other thing shuffled.
     """
-    probs = [i / bins for i in range(1, bins)]
-    edges = df.select(
-        *[F.percentile_approx(F.get(vec, F.lit(i)), F.array(*map(F.lit, probs)), F.lit(10_000)).alias(f"e{i}") for i in range(p)]
-    ).first()
-    shared = F.array(*[F.array(*[F.lit(v) for v in edges[f"e{i}"]]) for i in range(p)])
+    edges = quantile_edges(df, vec, p, bins)
+    shared = F.array(*[F.array(*[F.lit(v) for v in e]).cast("array<double>") for e in edges])
     long = df.select(F.col(y).alias("c"), F.posexplode(F.zip_with(
         vec, shared, lambda x, e: F.size(F.filter(e, lambda v: v < x))
     )).alias("pos", "bin"))

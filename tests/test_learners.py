@@ -272,3 +272,19 @@ def test_date_layouts(spark):
         assert fit.day_first is first and fit.texts == len(rows) - 1 and fit.unread == sum(d is None for _, d in rows) - 1
     nothing = spark.createDataFrame([], "id int, t string")
     assert dates.fit_date_layouts(nothing, "t").texts == 0 and dates.layout_report(nothing, "t").collect() == []
+
+
+# --- exact beyond one task's rows -------------------------------------------
+
+
+def test_bin_edges_are_exact_beyond_the_sketch(spark):
+    from gradus.operators import selection
+
+    n = 60_000
+    df = spark.range(n).select(F.array(F.xxhash64("id") / 2.0**63, F.when(F.col("id") % 7 > 0, (F.col("id") % 1000) / 8.0), F.lit(None).cast("double")).alias("v"))
+    rows = np.array([[np.nan if e is None else e for e in r["v"]] for r in df.collect()])
+    edges = selection.quantile_edges(df, "v", 3, 10)
+    for j in (0, 1):
+        own = np.sort(rows[~np.isnan(rows[:, j]), j])
+        assert edges[j] == [own[-(-i * len(own) // 10) - 1] for i in range(1, 10)]
+    assert edges[2] == []
