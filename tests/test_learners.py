@@ -277,6 +277,15 @@ def test_date_layouts(spark):
 # --- exact beyond one task's rows -------------------------------------------
 
 
+def test_ward_linkage_by_rounds_is_the_chain(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(150, 3)), np.repeat(rng.normal(size=(20, 3)), 4, 0)])
+    want = ward.fit_ward(vectors(spark, x), "v").merge_table(spark).orderBy("step").collect()
+    got = ward.ward_linkage(vectors(spark, x), "v", local=90).orderBy("step").collect()
+    assert len(got) == 169 and [(r["step"], r["a"], r["b"], r["size"]) for r in got] == [(r["step"], r["a"], r["b"], r["size"]) for r in want]
+    assert np.allclose([r["height"] for r in got], [r["height"] for r in want])
+
+
 def test_bin_edges_are_exact_beyond_the_sketch(spark):
     from gradus.operators import selection
 
