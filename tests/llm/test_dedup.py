@@ -133,3 +133,30 @@ def test_pairs_of_similarity_point_eight_are_found(spark, odd, odd_rows, nothing
     assert {i for i in kept if i >= 1000} == {1100}
     assert Counter(r["doc_id"] for r in minhash.near_duplicates(odd).collect()) == Counter(r[0] for r in odd_rows)
     assert minhash.near_duplicates(nothing).count() == 0
+
+
+def test_links_to_nodes_behind_a_hub_are_kept(spark):
+    rng = random.Random(5)
+    rows = []
+    for family in range(4):  # copies of a text and looser variants of single copies, which are like these and not like a hub
+        base = [f"w{rng.getrandbits(40)}" for _ in range(300)]
+        copies = []
+        for i in range(60):
+            copies.append(base[:])
+            for at in rng.sample(range(300), 2):
+                copies[i][at] = f"c{rng.getrandbits(40)}"
+        for parent in rng.sample(copies, 20):
+            copies.append(parent[:])
+            for at in rng.sample(range(300), rng.randint(5, 7)):
+                copies[-1][at] = f"v{rng.getrandbits(40)}"
+        rows += [(1000 * family + i, " ".join(c)) for i, c in enumerate(copies)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    bands = [minhash.band_keys(np.unique(simhash.shingle_hashes(t, 5))) for _, t in rows]
+
+    def linked(i, j):
+        return len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (bands[i] == bands[j]).any()
+
+    label = brute.components(len(rows), linked)
+    want = {r[0]: min(x[0] for x, y in zip(rows, label) if y == c) for r, c in zip(rows, label)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == want
