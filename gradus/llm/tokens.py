@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: bytes of pieces and their ids that a task remembers; then it starts anew
-REMEMBERED_BYTES = 24_000_000
+REMEMBERED_BYTES = 12_000_000
 #: ASCII signs that are tokens of their own behind a letter or digit (an apostrophe may begin a contraction)
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: lower-case letters of Latin-1; no normal form changes them, whatever stands beside them
+LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 
 @lru_cache(maxsize=2)
@@ -25,6 +29,20 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _letters(path: str) -> dict[int, str] | None:
+    """What the pre-tokenizer makes of each of ``LETTERS``, if it keeps a run of them in one piece and no added token is such a run; else nothing."""
+    tokenizer = _tokenizer(path)
+    if tokenizer.pre_tokenizer is None or tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str(LETTERS) != LETTERS:
+        return None
+    parts = [tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in LETTERS]
+    whole = [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(LETTERS)]
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    if any(len(p) != 1 for p in parts) or whole != ["".join(p[0][0] for p in parts)] or any(set(a) <= set(LETTERS) for a in added):
+        return None
+    return {ord(c): p[0][0] for c, p in zip(LETTERS, parts)}
+
+
 class WordTokenizer:
     """Encodes texts piece by piece between ASCII white space, and each distinct piece once while it is remembered.
 
@@ -35,7 +53,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.letters = _tokenizer(path), _letters(path)
         self._forget()
 
     def _forget(self) -> None:
@@ -47,12 +65,22 @@ class WordTokenizer:
         if self.held > REMEMBERED_BYTES:
             self._forget()
         fresh = list({p: None for p in names if p not in self.known})
+        plain, fresh = self._runs(fresh)
         sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        if plain:
+            merged, flat, lengths = self.tokenizer.model.tokenize, array("I"), array("q")
+            for piece in plain:
+                found = merged(piece.translate(self.letters))
+                flat.extend([t.id for t in found])
+                lengths.append(len(found))
+            sizes.append(np.frombuffer(lengths, np.int64))
+            ids.append(np.frombuffer(flat, np.uint32))
         for at in range(0, len(fresh), 10_000):
             some = fresh[at : at + 10_000]
             found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(found.ids, np.uint32))
             sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+        fresh = plain + fresh
         size, ids = np.concatenate(sizes), np.concatenate(ids)
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
@@ -60,6 +88,13 @@ class WordTokenizer:
         self.held += sum(map(len, fresh)) + 4 * len(ids) + 16 * len(fresh)
         return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
 
+    def _runs(self, pieces: list[str]) -> tuple[list[str], list[str]]:
+        """Pieces that are a run of ``LETTERS``, which the model can take as they are, and the others."""
+        if self.letters is None or not pieces:
+            return [], pieces
+        run = pc.match_substring_regex(pa.array(pieces, pa.string()), f"^[{LETTERS}]+$").to_pylist()
+        return list(compress(pieces, run)), [p for p, r in zip(pieces, run) if not r]
+
     @staticmethod
     def _parts(pieces: pa.Array) -> tuple[pa.Array, list[str], np.ndarray]:
         """The pieces without the signs at their ends, where a letter or digit is before them; the distinct signs, and each piece's place among these."""
@@ -89,19 +124,15 @@ class WordTokenizer:
         lengths = self.size[two]
         before = np.cumsum(lengths) - lengths
         flat = np.append(self.flat[np.repeat(self.first[two] - before, lengths) + np.arange(lengths.sum())], np.uint32(end_id))
-        size = np.append(lengths[::2] + lengths[1::2], 1)
-        first = np.append(before[::2], len(flat) - 1)
         # the pieces of the texts, each text with the end behind it
+        lists = pa.LargeListArray.from_arrays(np.append(before[::2], [len(flat) - 1, len(flat)]), flat)
         stops = np.cumsum(counts)
-        place = np.insert(coded.indices.to_numpy().astype(np.int64), stops, len(size) - 1)
-        long = size[place]
-        ends = np.cumsum(long)
-        ids = flat[np.repeat(first[place] - (ends - long), long) + np.arange(ends[-1] if n else 0)]
-        return ids, ends[stops + np.arange(n)] if n else np.zeros(0, np.int64)
+        taken = lists.take(pa.array(np.insert(coded.indices.to_numpy(), stops, len(lists) - 1)))
+        return taken.values.to_numpy(), taken.offsets.to_numpy()[1:][stops + np.arange(n)] if n else np.zeros(0, np.int64)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int = 12_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``size`` bytes: the more text at once, the fewer distinct words in all."""
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``size`` bytes: the more text at once, the fewer distinct words in all. What Arrow holds is given back behind the last one."""
     held, total = [], 0
     for batch in batches:
         held.append(batch)
@@ -111,6 +142,8 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int = 12_000_000) -> Itera
             held, total = [], 0
     if held:
         yield pa.concat_batches(held)
+    held = batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -7,11 +7,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gradus.llm import mixing, packing, token_files, vectors
+from gradus.llm import mixing, packing, token_files, tokens, vectors
 from gradus.llm.common import shared_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -211,3 +212,26 @@ def test_pipeline_of_odd_rows(spark, odd, odd_rows, nothing):
         assert out.columns == odd.columns and 0 < out.count() <= 2 * len(odd_rows)
         assert stages[name](spark, nothing, "").count() == 0
     random.seed(0)
+
+
+def test_letter_runs_are_encoded_as_in_whole_texts(monkeypatch):
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    whole = tokens._tokenizer(path)
+    signs = "abzéßüÿµ́'.,<|>1 9­ÉÅ\n"
+    texts = ["École straße ŷou", "it's WE'LL don't", "<|endoftext|>abc a<|b", "ªbc þorn ÷x", "", None, "日本語 ünï😀x", "ﬁ ǆ"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    ids, stops = tokens.WordTokenizer(path).encode(pa.array(texts), 7)
+    assert [x.tolist() for x in np.split(ids, stops[:-1])] == [[*whole.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    seen = []
+    words = tokens.WordTokenizer(path)
+
+    class Counting:
+        model = whole.model
+
+        def encode(self, pieces, **options):
+            seen.extend(pieces)
+            return whole.encode(pieces, **options)
+
+    monkeypatch.setattr(words, "tokenizer", Counting())
+    words.encode(pa.array(["plain wörds, run straße 12"]), 7)
+    assert not {"plain", "wörds", "run", "straße"} & set(seen) and "12" in seen
