@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         small = small.filter("u > v").unionByName(root.select("u", F.col("m").alias("v"))).distinct()
         now = checkpointed(small)
         # a star has one link from each node and none from a centre
-        loose = now.groupBy("u").count().filter("count > 1").select("u").unionByName(now.select("u").join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi"))
+        ends = now.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(now.select("v", F.lit(0), F.lit(1)).toDF("u", "out", "into"))
+        loose = ends.groupBy("u").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).filter("out > 1 OR (out > 0 AND into > 0)")
         flat = now
         if loose.isEmpty():
             break

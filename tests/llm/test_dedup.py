@@ -160,3 +160,18 @@ def test_links_to_nodes_behind_a_hub_are_kept(spark):
     want = {r[0]: min(x[0] for x, y in zip(rows, label) if y == c) for r, c in zip(rows, label)}
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == want
+
+
+def test_turns_of_hubs_end_when_they_settle_little(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    common, turns = np.arange(100), []
+    sets = {i: np.concatenate([common, 1000 * i + np.arange(60)]) for i in range(1, 161)}  # a similarity of 0.45
+    for i in range(161, 171):
+        sets[i] = np.concatenate([sets[i - 80][:-3], -1000 * i - np.arange(rng.integers(1, 4))])  # about 0.96 with one of them
+    sets[171] = sets[1][:100]  # too small for a link
+    rows = spark.createDataFrame([(k, n, len(s)) for k in (7, 8) for n, s in sets.items()], "key long, node long, size int")
+    table = spark.createDataFrame([(n, s.tolist()) for n, s in sets.items()], "node long, shingles array<long>")
+    monkeypatch.setattr(minhash, "PAIRS", 4)
+    monkeypatch.setattr(minhash, "in_components", lambda *a, run=minhash.in_components: turns.append(1) or run(*a))
+    assert {tuple(r) for r in minhash.similar_nodes(rows, table, 0.8).distinct().collect()} == {(i - 80, i) for i in range(161, 171)}
+    assert len(turns) == 1
