@@ -286,6 +286,34 @@ def test_ward_linkage_by_rounds_is_the_chain(spark):
     assert np.allclose([r["height"] for r in got], [r["height"] for r in want])
 
 
+def test_ward_rounds_ask_only_clusters_without_a_partner(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=(700, 8)), np.repeat(rng.normal(size=(20, 8)), 3, 0)])
+    want = ward.fit_ward(vectors(spark, x), "v").merge_table(spark).orderBy("step").collect()
+    asked, plain = [], ward._cheapest
+
+    def counted(q, a, s, x, b, t):
+        asked.append((len(q), len(x)))
+        return plain(q, a, s, x, b, t)
+
+    monkeypatch.setattr(ward, "_cheapest", counted)
+    got = ward.ward_linkage(vectors(spark, x), "v", local=40).orderBy("step").collect()
+    assert len(asked) > 3 and all(rows < left for rows, left in asked[1:]) and sum(rows for rows, _ in asked) < 0.7 * sum(left for _, left in asked)
+    monkeypatch.undo()
+    spread = ward.ward_linkage(vectors(spark, x), "v", local=40, cells=500 * 8).orderBy("step").collect()
+    for rows in (got, spread):
+        assert [(r["step"], r["a"], r["b"], r["size"]) for r in rows] == [(r["step"], r["a"], r["b"], r["size"]) for r in want]
+        assert np.allclose([r["height"] for r in rows], [r["height"] for r in want])
+
+
+def test_ward_rounds_end_on_equal_costs(spark):
+    for width, cells in ((12, 1 << 21), (3, 0)):
+        x = np.array([[i, j] for i in range(width) for j in range(width)], dtype=float)
+        rows = ward.ward_linkage(vectors(spark, x), "v", local=5, cells=cells).orderBy("step").collect()
+        assert len(rows) == len(x) - 1 and rows[-1]["size"] == len(x) and all(a["height"] <= b["height"] for a, b in zip(rows, rows[1:]))
+        assert np.isclose(sum(r["height"] ** 2 / 2 for r in rows), ((x - x.mean(0)) ** 2).sum())
+
+
 def test_bin_edges_are_exact_beyond_the_sketch(spark):
     from gradus.operators import selection
 
