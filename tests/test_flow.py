@@ -1,5 +1,7 @@
 """End-to-end training, scoring on a stream, and all SQL checks on the smallest tables."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from gradus.operators import lookups
 from gradus.plans.learning import _small_chain
 from gradus.plans.registry import Tables
 from gradus.plans.standins import VECTOR_SCHEMA
-from gradus.plans.training import FittedChain, fit_chain, generate_predictions, train_best_model, training_rows
+from gradus.plans.training import ChainOptions, FittedChain, fit_chain, generate_predictions, train_best_model, training_rows
 from gradus.streaming.scoring import score_stream
 from oracle import compare, duck
 
@@ -39,6 +41,17 @@ def test_train_then_score_a_stream(spark, tmp_path):
     assert streamed.count() == 500 and streamed.join(batch, "id").filter("prediction != b").count() == 0
 
 
+def test_best_model_is_trained_with_the_whole_settings(spark, monkeypatch):
+    from gradus.plans import learning
+
+    asked = []
+    monkeypatch.setattr(learning, "train_best_model", lambda df, schema, dim, opts, **more: asked.append((df.count(), opts, more)) or (None, df))
+    entry.queries()["train_best_model"](spark, SF)
+    (rows, opts, more), plain = asked[0], ChainOptions()
+    assert rows == 500 and dict(opts.model) == {"trees": 800, "depth": 10, "rate": 0.005, "subsample": 0.8, "columns": 0.7}
+    assert opts == replace(plain, block_dim=64) and opts.selection_trees == 100 and opts.outliers and more.get("folds", 10) == 10
+
+
 def test_other_selectors_learners_and_products(spark, tmp_path):
     rows = Tables(spark, SF).candidates.persist()
     dim = lookups.state_salary(spark)
