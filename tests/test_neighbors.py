@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.operators import density, mutual_info, neighbors, quality
 
@@ -189,6 +190,49 @@ def test_impute_knn(spark):
             assert np.isclose(got[i][j], want, atol=1e-9)
 
 
+def test_tiles_keep_the_nearest_and_the_borders():
+    from gradus.operators import blocks as B
+
+    rng = np.random.default_rng(12)
+    grid = rng.integers(0, 3, (2600, 3)).astype(float)
+    for x in (grid, rng.normal(size=(2600, 5)), rng.normal(size=(2600, 2)) * 1e-4 + 1e5, rng.normal(size=(300, 4)) * 1e20, rng.normal(size=(3, 4))):
+        ids, q = rng.permutation(len(x)), x[:40]
+        d = np.sqrt(((q[:, None, :] - x[None]) ** 2).sum(2))
+        near = np.array([np.lexsort((ids, row))[:5] for row in d])
+        limits = np.where(np.arange(len(q)) % 2, np.nan, np.take_along_axis(d, near, 1)[:, -1])
+        for within in (None, limits):
+            r, c, e = B.nearest_in_block(q, x, ids, 5, within)
+            assert (c.reshape(near.shape) == near).all() and (e == d[r, c]).all()
+        steps = np.unique(np.quantile(d, [0.1, 0.4]))
+        r, c, level = (np.concatenate(v) for v in zip(*B.levels_in_block(q, x, steps)))
+        assert len(r) == (d <= steps[-1]).sum() and (level == np.searchsorted(steps, d[r, c])).all()
+    wide = B.Tiles(rng.normal(size=(2, 3)), rng.normal(size=(9, 3)), 1.0)
+    assert wide.squared(slice(0, 2), slice(0, 9)).dtype == np.float32
+
+
+def test_cluster_benchmark_shares_the_distances(spark, monkeypatch):
+    from gradus.operators import blocks as B
+    from gradus.operators import clustering
+
+    rng = np.random.default_rng(13)
+    x = np.vstack([rng.normal(c, 0.5, size=(30, 2)) for c in (0.0, 2.0, 5.0)])
+    df, joins, plain = table(spark, x), [], B.blocked_join
+    monkeypatch.setattr(B, "blocked_join", lambda *a, **k: joins.append(1) or plain(*a, **k))
+    label = lambda c: lambda d: d.withColumn("cluster", c)
+    found = clustering.cluster_benchmark(df, "id", "v", {
+        "thirds": label((F.col("id") / 30).cast("int")), "halves": label(F.when(F.col("id") < 45, 0).otherwise(1)), "odd": label((F.col("id") % 3).cast("int")),
+        "some": label(F.when(F.col("id") < 60, F.col("id") % 2).otherwise(-1)),
+    }).toPandas().set_index("algorithm")["silhouette"]
+    assert len(joins) == 2
+    for name, c, n in (("thirds", np.arange(90) // 30, 90), ("halves", (np.arange(90) >= 45) * 1, 90), ("odd", np.arange(90) % 3, 90), ("some", np.arange(60) % 2, 60)):
+        d, s = np.sqrt(((x[:n, None] - x[None, :n]) ** 2).sum(2)), []
+        for i in range(n):
+            a = d[i][c == c[i]].sum() / ((c == c[i]).sum() - 1)
+            b = min(d[i][c == o].mean() for o in set(c) - {c[i]})
+            s.append((b - a) / max(a, b))
+        assert np.isclose(found[name], np.mean(s), atol=1e-9)
+
+
 def test_silhouette_blocks(spark):
     x = points(copies=60)
     y = np.repeat([0, 1, 2], 100)
