@@ -210,6 +210,25 @@ def test_tiles_keep_the_nearest_and_the_borders():
     assert wide.squared(slice(0, 2), slice(0, 9)).dtype == np.float32
 
 
+def test_donors_are_the_nearest_over_several_tiles():
+    rng = np.random.default_rng(14)
+    for x in (rng.normal(size=(5000, 6)), rng.integers(0, 3, (2600, 4)).astype(float)):
+        x[rng.random(x.shape) < 0.4] = np.nan
+        ids, q = rng.permutation(len(x)), x[:30]
+        got = {}
+        for i, j, c, e in neighbors._block_donors(q, x, ids, 3):
+            for a, b, row, dist in zip(i, j, c, e):
+                got.setdefault((int(a), int(b)), []).append((dist, int(ids[row])))
+        both = ~np.isnan(q)[:, None] & ~np.isnan(x)[None]
+        n = both.sum(2)
+        gap = np.where(both, np.nan_to_num(q)[:, None] - np.nan_to_num(x)[None], 0.0)
+        d = np.sqrt(np.where(n > 0, (gap * gap).sum(2) * x.shape[1] / np.maximum(n, 1), np.inf))
+        for i, j in zip(*np.nonzero(np.isnan(q))):
+            own = np.flatnonzero(~np.isnan(x[:, j]) & np.isfinite(d[i]))
+            want = sorted(zip(d[i, own], ids[own].tolist()))[:3]
+            assert np.allclose([v for v, _ in sorted(got.get((i, j), []))], [v for v, _ in want]) and len(got.get((i, j), [])) == len(want)
+
+
 def test_cluster_benchmark_shares_the_distances(spark, monkeypatch):
     from gradus.operators import blocks as B
     from gradus.operators import clustering
